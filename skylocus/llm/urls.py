@@ -151,7 +151,7 @@ class Model:
         return 1 / (1 + np.exp(-score))
 
 
-def fit(urls: Sequence[str], blocked: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, smooth: float = 20.0) -> Model:
+def fit(urls: Sequence[str], blocked: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, smooth: float = 20.0) -> Model:
     """Logistic boosting."""
     y = np.asarray(blocked, np.float64)
     if not len(y) or y.min() == y.max():
