@@ -173,7 +173,7 @@ def t13(spark, sf_dir):
     return h.raw_measurements(spark, sf_dir).select("event_id", reason.alias("reject"))
 
 
-@query("T14_timestamp", "select event_id, epoch_ms(ts) between epoch_ms(timestamp '2024-03-01') - 31536000000 and epoch_ms(timestamp '2024-03-01') as fresh from events")
+@query("T14_timestamp", "select event_id, (epoch_us(ts) // 1000) between (epoch_us(timestamp '2024-03-01') // 1000) - 31536000000 and (epoch_us(timestamp '2024-03-01') // 1000) as fresh from events")
 def t14(spark, sf_dir):
     """T-14."""
     return h.raw_measurements(spark, sf_dir).select("event_id", wifi.valid_timestamp(F.col("measurement_timestamp"), F.unix_millis(F.to_timestamp(F.lit("2024-03-01")))).alias("fresh"))
@@ -299,7 +299,7 @@ def q06(spark, sf_dir):
 
 @query(
     "Q07_coverage",
-    _M + "select bssid, count(*) as total, count(case when connection_status = 'CONNECTED' then 1 end) as connected, count(case when connection_status = 'SCAN' then 1 end) as scanned, epoch_ms(min(ingestion_timestamp)) as first_ms, epoch_ms(max(ingestion_timestamp)) as last_ms, round(avg(location_accuracy), 6) as avg_accuracy from m group by bssid",
+    _M + "select bssid, count(*) as total, count(case when connection_status = 'CONNECTED' then 1 end) as connected, count(case when connection_status = 'SCAN' then 1 end) as scanned, (epoch_us(min(ingestion_timestamp)) // 1000) as first_ms, (epoch_us(max(ingestion_timestamp)) // 1000) as last_ms, round(avg(location_accuracy), 6) as avg_accuracy from m group by bssid",
 )
 def q07(spark, sf_dir):
     """Q-07."""
@@ -577,7 +577,7 @@ def _compared(spark, sf_dir) -> DataFrame:
 
 @query(
     "C03_C10_comparison",
-    f"""with {_PAIRS} select request_id, scenario, location_type, round(distance_m, 4) as distance_m, round(case when distance_m is not null then sqrt(acc_a * acc_a + acc_b * acc_b) end, 4) as uncertainty_m,
+    f"""with {_PAIRS} select request_id, scenario, location_type, round(distance_m, 3) as distance_m, round(case when distance_m is not null then sqrt(acc_a * acc_a + acc_b * acc_b) end, 4) as uncertainty_m,
     case when location_type = 'CELL' then 'NO WIFI COVERAGE' when scenario = 'A_SUCCESS_B_ERROR_WIFI' then 'B FAILURE' when distance_m is null then null when distance_m = 0 then 'PERFECT AGREEMENT' when acc_a >= 250 then 'WIFI VS CELL DISAGREEMENT' when distance_m < sqrt(acc_a * acc_a + acc_b * acc_b) then 'GOOD AGREEMENT'
       when distance_m / acc_b <= 1 then 'B WITHIN BOUNDS' when distance_m / acc_b <= 1.5 then 'B MODERATELY OVERCONFIDENT' when distance_m / acc_b <= 2.5 then 'B OVERCONFIDENT' else 'B EXTREMELY OVERCONFIDENT' end as agreement,
     round(case when distance_m = 0 then 0 when acc_a < 250 then distance_m / acc_b end, 4) as confidence_ratio, round(lat_b - lat_a, 6) as lat_delta, round(acc_b - acc_a, 4) as acc_delta from cmp""",
@@ -585,7 +585,7 @@ def _compared(spark, sf_dir) -> DataFrame:
 def c03(spark, sf_dir):
     """C-03 to C-10, C-18, J-05, S-17."""
     r = lambda c, n=4: F.round(c, n).alias(c)
-    return _compared(spark, sf_dir).select("request_id", "scenario", "location_type", r("distance_m"), r("uncertainty_m"), "agreement", r("confidence_ratio"), r("lat_delta", 6), r("acc_delta"))
+    return _compared(spark, sf_dir).select("request_id", "scenario", "location_type", r("distance_m", 3), r("uncertainty_m"), "agreement", r("confidence_ratio"), r("lat_delta", 6), r("acc_delta"))
 
 
 @query("C02_report_mac", "select s_suppkey, case when s_suppkey % 4 = 0 then null else upper(substr(x, 1, 2) || ':' || substr(x, 3, 2) || ':' || substr(x, 5, 2) || ':' || substr(x, 7, 2) || ':' || substr(x, 9, 2) || ':' || substr(x, 11, 2)) end as mac from (select s_suppkey, lpad(lower(to_hex(s_suppkey)), 12, '0') as x from supplier)")
@@ -846,7 +846,7 @@ _L = W("log")
 
 @query(
     "M01_consumer",
-    _L + "select component, count(*) as consumed, count(*) filter (where ok) as processed, count(*) filter (where not ok) as failed, round(100.0 * count(*) filter (where ok) / count(*), 6) as success_pct, round(100.0 * count(*) filter (where not ok) / count(*), 6) as error_pct, round(avg(duration_ms), 6) as avg_ms, min(duration_ms) as min_ms, max(duration_ms) as max_ms, epoch_ms(min(ts)) as first_ms, epoch_ms(max(ts)) as last_ms from log group by component",
+    _L + "select component, count(*) as consumed, count(*) filter (where ok) as processed, count(*) filter (where not ok) as failed, round(100.0 * count(*) filter (where ok) / count(*), 6) as success_pct, round(100.0 * count(*) filter (where not ok) / count(*), 6) as error_pct, round(avg(duration_ms), 6) as avg_ms, min(duration_ms) as min_ms, max(duration_ms) as max_ms, (epoch_us(min(ts)) // 1000) as first_ms, (epoch_us(max(ts)) // 1000) as last_ms from log group by component",
 )
 def m01(spark, sf_dir):
     """M-01."""
@@ -854,7 +854,7 @@ def m01(spark, sf_dir):
     return out.withColumns({"first_ms": F.unix_millis("first_at"), "last_ms": F.unix_millis("last_at")}).drop("first_at", "last_at")
 
 
-@query("M01_M08_windows", _L + "select component, epoch_ms(date_trunc('hour', ts)) as window_ms, count(*) as consumed, round(avg(duration_ms), 6) as avg_ms from log group by 1, 2")
+@query("M01_M08_windows", _L + "select component, (epoch_us(date_trunc('hour', ts)) // 1000) as window_ms, count(*) as consumed, round(avg(duration_ms), 6) as avg_ms from log group by 1, 2")
 def m08(spark, sf_dir):
     """M-01, M-08."""
     return monitor.windows(h.log(spark, sf_dir)).select("component", F.unix_millis("window_start").alias("window_ms"), "consumed", "avg_ms")
@@ -878,7 +878,7 @@ def m04(spark, sf_dir):
     return monitor.by_size(h.log(spark, sf_dir))
 
 
-_RATE = "floor((epoch_ms(max(ts)) - epoch_ms(min(ts))) / 60000)"
+_RATE = "floor(((epoch_us(max(ts)) // 1000) - (epoch_us(min(ts)) // 1000)) / 60000)"
 
 
 @query("M05_rate", _L + f"select component, count(*) as total, round(case when {_RATE} > 0 then count(*) / {_RATE} else count(*) end, 6) as per_minute from log group by component")

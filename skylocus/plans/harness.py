@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SPARK = {"hex": "hex", "ms": "unix_millis", "k": "cast(get_json_object(props, '$.k') as int)"}
-_OTHER = {"hex": "to_hex", "ms": "epoch_ms", "k": "cast(json_extract_string(props, '$.k') as int)"}
+_SPARK = {"hex": "hex", "ms": "unix_millis(ts)", "k": "cast(get_json_object(props, '$.k') as int)"}
+_OTHER = {"hex": "to_hex", "ms": "epoch_us(ts) // 1000", "k": "cast(json_extract_string(props, '$.k') as int)"}
 
 VENDORS = ["cisco", "aruba", "meraki", "ubiquiti", "ruckus", "hpe-aruba", "generic"]
 STATUSES = ["active", "warning", "verified", "test", "imported", "error", "expired", "wifi-hotspot"]
@@ -43,7 +43,7 @@ MEASUREMENT = {
     "location_accuracy": "case when event_id % 19 = 0 then null else cast(2 * k as double) end",
     "connection_status": "case when event_type in ('purchase', 'signup') then 'CONNECTED' else 'SCAN' end",
     "link_speed": "case when event_type in ('purchase', 'signup') then cast(20 + event_id % 60 as int) end",
-    "measurement_timestamp": "{ms}(ts)",
+    "measurement_timestamp": "{ms}",
     "ingestion_timestamp": "ts",
     "is_global_outlier": "case when event_id % 29 = 0 then true when event_id % 31 = 0 then false end",
 }
