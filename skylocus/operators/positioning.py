@@ -52,8 +52,18 @@ def _sum(arr: Column, f) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + f(x))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value planned and evaluated once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, narrow, behind a generator that the optimizer does not inline projections across."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+
+
 def _mean(arr: Column, f) -> Column:
-    return _sum(arr, f) / F.size(arr)
+    return F.try_divide(_sum(arr, f), F.size(arr))
 
 
 def _position(lat: Column, lon: Column, alt: Column, acc: Column, conf: Column) -> Column:
@@ -161,12 +171,12 @@ def with_context(req: DataFrame) -> DataFrame:
     req = req.withColumn("std_rssi", F.round(F.sqrt(_mean(aps, lambda a: F.pow(a["s"] - F.col("mean_rssi"), 2))), 9))
     w = lambda a: F.pow(F.lit(10.0), a["s"] / 10)
     req = req.withColumn("_w", _sum(aps, w))
-    req = req.withColumn("_lat", _sum(aps, lambda a: w(a) * a["lat"]) / F.col("_w")).withColumn("_lon", _sum(aps, lambda a: w(a) * a["lon"]) / F.col("_w"))
+    req = req.withColumn("_lat", F.try_divide(_sum(aps, lambda a: w(a) * a["lat"]), F.col("_w"))).withColumn("_lon", F.try_divide(_sum(aps, lambda a: w(a) * a["lon"]), F.col("_w")))
+    req = settled(req)
     units = F.transform(aps, lambda a: _unit(a["lat"], a["lon"], F.col("_lat"), F.col("_lon")))
-    g = F.round(gdop_bias(units), 9)
-    req = req.withColumn("gdop", g).withColumn("collinear", collinear(aps))
+    req = req.withColumn("gdop", F.round(let(units, gdop_bias), 9)).withColumn("collinear", collinear(aps))
     geometry = F.when(F.size(aps) < 3, "POOR").when(F.col("collinear"), "COLLINEAR").when(F.col("gdop") < 2, "EXCELLENT").when(F.col("gdop") < 4, "GOOD").when(F.col("gdop") < 6, "FAIR").otherwise("POOR")
-    return req.withColumns({"signal": signal_class(F.col("mean_rssi")), "distribution": distribution_class(F.col("std_rssi"), F.size(aps)), "geometry": geometry}).drop("_w", "_lat", "_lon")
+    return req.withColumns({"signal": signal_class(F.col("mean_rssi")), "distribution": distribution_class(F.col("std_rssi"), F.size(aps)), "geometry": geometry}).drop("_w", "_lat", "_lon").transform(settled)
 
 
 def _pick(of: Column, names: list, values: list[float]) -> Column:
@@ -193,20 +203,20 @@ def weight(name: str) -> Column:
 def with_selection(req: DataFrame, threshold: float = 0.4) -> DataFrame:
     """P-14 to P-18: adds ``candidates`` (algorithm, weight of those eligible) and ``selected``, best first."""
     each = F.array(*[F.struct(F.lit(n).alias("algorithm"), F.when(eligible(n), weight(n)).alias("weight")) for n in ALGORITHMS])
-    req = req.withColumn("candidates", F.filter(each, lambda c: c["weight"].isNotNull()))
+    req = settled(req.withColumn("candidates", F.filter(each, lambda c: c["weight"].isNotNull())))
     # by falling weight, then by name
     order = F.array_sort("candidates", lambda a, b: F.when(a["weight"] > b["weight"], -1).when(a["weight"] < b["weight"], 1).when(a["algorithm"] < b["algorithm"], -1).otherwise(1))
-    least = F.when(F.size("candidates") == 1, F.col("candidates")[0]["weight"]).otherwise(threshold)
-    req = req.withColumn("_over", F.filter(order, lambda c: c["weight"] >= least))
+    least = F.when(F.size("candidates") == 1, F.get("candidates", F.lit(0))["weight"]).otherwise(threshold)
+    req = settled(req.withColumn("_over", F.filter(order, lambda c: c["weight"] >= least)))
     most = F.when(F.try_element_at("_over", F.lit(1))["weight"] > 0.8, 2).otherwise(3)
-    return req.withColumn("selected", F.slice("_over", 1, most)).drop("_over")
+    return settled(req.withColumn("selected", F.slice("_over", 1, most)).drop("_over"))
 
 
 def reasons(name: str, threshold: float = 0.4) -> Column:
     """P-18: why an algorithm is or is not selected, of this request alone."""
     own = F.filter("candidates", lambda c: c["algorithm"] == name)
     chosen = F.exists("selected", lambda c: c["algorithm"] == name)
-    w = own[0]["weight"]
+    w = F.get(own, F.lit(0))["weight"]
     said = F.concat(F.lit("weight "), F.format_string("%.2f", w))
     few = {"TRILATERATION": 3, "MAXIMUM_LIKELIHOOD": 4}.get(name, 2)
     return (
@@ -234,7 +244,7 @@ def weighted_centroid(aps: Column) -> Column:
     high = F.filter(aps, lambda a: F.abs(F.coalesce(a["alt"], F.lit(0.0)) * w(a)) > 1e-10)
     alt = F.when(F.size(high) > 0, _sum(high, lambda a: a["alt"] * w(a)) / _sum(high, w)).otherwise(0.0)
     known = F.size(F.array_distinct(F.transform(aps, lambda a: a["mac_addr"])))
-    return _position(_sum(aps, lambda a: w(a) * a["lat"]) / total, _sum(aps, lambda a: w(a) * a["lon"]) / total, alt, _mean(aps, lambda a: a["hacc"]), F.least(F.lit(0.8), F.size(aps) / known * 0.7))
+    return _position(F.try_divide(_sum(aps, lambda a: w(a) * a["lat"]), total), F.try_divide(_sum(aps, lambda a: w(a) * a["lon"]), total), alt, _mean(aps, lambda a: a["hacc"]), F.least(F.lit(0.8), F.try_divide(F.size(aps), known) * 0.7))
 
 
 def rssi_ratio(aps: Column) -> Column:
@@ -253,10 +263,10 @@ def rssi_ratio(aps: Column) -> Column:
     tall_w = _sum(tall, lambda p: p["w"])
     alt = F.when(tall_w > 0, _sum(tall, lambda p: p["w"] * p["alt"]) / tall_w).otherwise(0.0)
     acc = _mean(aps, lambda a: a["hacc"]) * clamp((-mean - 50) / 10, 1.0, 3.0)
-    base = F.least(F.lit(0.85), total / (n * (n - 1) / 2))
+    base = F.least(F.lit(0.85), F.try_divide(total, n * (n - 1) / 2))
     conf = F.least(F.lit(0.85), base + _mean(aps, lambda a: clamp((a["s"] + 95) / 45, 0.0, 1.0)))
     conf = F.when(mean >= -70, F.greatest(F.lit(0.7), conf)).otherwise(conf)
-    found = _position(_sum(pairs, lambda p: p["w"] * p["lat"]) / total, _sum(pairs, lambda p: p["w"] * p["lon"]) / total, alt, acc, conf)
+    found = _position(F.try_divide(_sum(pairs, lambda p: p["w"] * p["lat"]), total), F.try_divide(_sum(pairs, lambda p: p["w"] * p["lon"]), total), alt, acc, conf)
     return F.when((n >= 2) & (total > 0), found)
 
 
@@ -291,14 +301,14 @@ def log_distance(aps: Column) -> Column:
         + 0.05 * (1 - 0.3 * F.least(F.lit(1.0), std / 20))
     )
     once = F.size(F.array_distinct(F.transform(aps, lambda a: a["mac_addr"]))) == F.size(aps)
-    return F.when(once, _position(_sum(m, lambda x: x["w"] * x["lat"]) / total, _sum(m, lambda x: x["w"] * x["lon"]) / total, alt, acc, clamp(conf, 0.6, 0.95)))
+    return F.when(once, _position(F.try_divide(_sum(m, lambda x: x["w"] * x["lat"]), total), F.try_divide(_sum(m, lambda x: x["w"] * x["lon"]), total), alt, acc, clamp(conf, 0.6, 0.95)))
 
 
 def trilateration(req: DataFrame) -> DataFrame:
     """A-05: adds ``trilateration``. Distances are linearised against the first scan and solved by normal equations; a singular system falls back to the weighted centre. The dilution is taken over metres as if they were degrees, on purpose."""
     aps = F.col("aps")
     top = F.array_max(F.transform(aps, lambda a: F.struct(a["s"].alias("s"), (-a["pos"]).alias("o"), a["lat"].alias("lat"), a["lon"].alias("lon"))))
-    req = req.withColumn("_o", top)
+    req = settled(req.withColumn("_o", top))
     scale = 111_000.0
 
     def local(a: Column) -> Column:
@@ -308,27 +318,28 @@ def trilateration(req: DataFrame) -> DataFrame:
         x = (a["lon"] - F.col("_o.lon")) * scale * F.cos(F.radians(F.col("_o.lat")))
         return F.struct(x.alias("x"), ((a["lat"] - F.col("_o.lat")) * scale).alias("y"), d.alias("d"), a["s"].alias("s"), a["alt"].alias("alt"))
 
-    req = req.withColumn("_t", F.transform(aps, local)).withColumn("_p", F.col("_t")[0])
+    req = settled(settled(req.withColumn("_t", F.transform(aps, local))).withColumn("_p", F.get("_t", F.lit(0))))
     p = F.col("_p")
     rows = F.transform(
         F.slice("_t", 2, 1000),
         lambda q: F.struct((2 * (q["x"] - p["x"])).alias("a"), (2 * (q["y"] - p["y"])).alias("b"), (q["x"] * q["x"] + q["y"] * q["y"] - p["x"] * p["x"] - p["y"] * p["y"] + p["d"] * p["d"] - q["d"] * q["d"]).alias("c")),
     )
-    req = req.withColumn("_r", rows)
+    req = settled(req.withColumn("_r", rows))
     r = F.col("_r")
     saa, sbb, sab = _sum(r, lambda q: q["a"] * q["a"]), _sum(r, lambda q: q["b"] * q["b"]), _sum(r, lambda q: q["a"] * q["b"])
     sac, sbc = _sum(r, lambda q: q["a"] * q["c"]), _sum(r, lambda q: q["b"] * q["c"])
-    req = req.withColumns({"_saa": saa, "_sbb": sbb, "_sab": sab, "_sac": sac, "_sbc": sbc})
+    req = settled(req.withColumns({"_saa": saa, "_sbb": sbb, "_sab": sab, "_sac": sac, "_sbc": sbc}))
     det = F.col("_saa") * F.col("_sbb") - F.col("_sab") * F.col("_sab")
     w = lambda q: F.pow(F.lit(10.0), q["s"] / 20)
     t = F.col("_t")
-    centre = lambda c: _sum(t, lambda q: w(q) * q[c]) / _sum(t, w)
+    centre = lambda c: F.try_divide(_sum(t, lambda q: w(q) * q[c]), _sum(t, w))
     x = F.when(det == 0, centre("x")).otherwise((F.col("_sac") * F.col("_sbb") - F.col("_sbc") * F.col("_sab")) / F.nullif(det, F.lit(0.0)))
     y = F.when(det == 0, centre("y")).otherwise((F.col("_sbc") * F.col("_saa") - F.col("_sac") * F.col("_sab")) / F.nullif(det, F.lit(0.0)))
-    req = req.withColumn("_x", x).withColumn("_y", y)
+    req = settled(req.withColumn("_x", x).withColumn("_y", y))
     units = F.transform(t, lambda q: _unit(q["y"], q["x"], F.col("_y"), F.col("_x")))
-    req = req.withColumn("_g", gdop_factor(gdop_plain(units)))
-    g, mean, n = F.col("_g"), _mean(t, lambda q: q["s"]), F.size(t)
+    req = req.withColumn("_g", let(let(units, gdop_plain), gdop_factor)).withColumn("_m", _mean(t, lambda q: q["s"]))
+    req = settled(req)
+    g, mean, n = F.col("_g"), F.col("_m"), F.size(t)
     lat = clamp(F.col("_o.lat") + F.col("_y") / scale, -90.0, 90.0)
     lon = clamp(F.col("_o.lon") + F.col("_x") / (scale * F.cos(F.radians(F.col("_o.lat")))), -180.0, 180.0)
     tall = F.filter(t, lambda q: q["alt"].isNotNull())
@@ -338,7 +349,7 @@ def trilateration(req: DataFrame) -> DataFrame:
     conf = (0.55 + 0.30 * (0.7 * sf + 0.3 * clamp((n - 3) / 5, 0.0, 1.0))) * (1 - 0.3 * (1 - 1 / F.greatest(F.lit(1.0), g)))
     conf = F.when(mean >= -65, clamp(conf, 0.8, 0.85)).when(mean < -80, F.least(conf, F.lit(0.58))).otherwise(conf)
     found = F.when(n >= 3, _position(lat, lon, alt, acc, clamp(conf, 0.55, 0.85)))
-    return req.withColumn("trilateration", found).drop("_o", "_t", "_p", "_r", "_saa", "_sbb", "_sab", "_sac", "_sbc", "_x", "_y", "_g")
+    return req.withColumn("trilateration", found).drop("_o", "_t", "_p", "_r", "_saa", "_sbb", "_sab", "_sac", "_sbc", "_x", "_y", "_g", "_m").transform(settled)
 
 
 def _likelihood(s: np.ndarray, f: np.ndarray, lat: np.ndarray, lon: np.ndarray, alt: np.ndarray, conf: np.ndarray) -> tuple | None:
@@ -422,32 +433,50 @@ def maximum_likelihood(aps: Column) -> Column:
 
 def combine(est: Column) -> Column:
     """A-07 over an array of (weight, position): null if it is empty."""
-    total, n = _sum(est, lambda e: e["weight"]), F.size(est)
-    share = lambda e: e["weight"] / total
-    field = lambda c: _sum(est, lambda e: share(e) * e["position"][c])
-    lat, lon = field("latitude"), field("longitude")
-    cov = lambda f: _mean(est, f)
-    dy, dx = (lambda e: e["position"]["latitude"] - lat), (lambda e: e["position"]["longitude"] - lon)
-    kappa = condition_number(cov(lambda e: dy(e) * dy(e)), cov(lambda e: dx(e) * dx(e)), cov(lambda e: dx(e) * dy(e)))
-    line = collinear(F.transform(est, lambda e: F.struct(e["position"]["latitude"].alias("lat"), e["position"]["longitude"].alias("lon"))))
-    q = geometry_factor(line, kappa)
-    accs = F.sort_array(F.transform(est, lambda e: e["position"]["accuracy"]))
-    mid = lambda a, k: (F.element_at(a, F.floor((k + 1) / 2).cast("int")) + F.element_at(a, F.floor(k / 2).cast("int") + 1)) / 2
-    median = mid(accs, n)
-    cut = F.floor(n * 0.25).cast("int")
-    inner = F.slice(accs, cut + 1, F.greatest(n - 2 * cut, F.lit(1)))
-    trimmed = F.when(n <= 2, median).otherwise(_mean(inner, lambda a: a))
-    robust = F.when(n <= 3, median).otherwise(0.7 * median + 0.3 * trimmed)
-    mad = mid(F.sort_array(F.transform(accs, lambda a: F.abs(a - median))), n)
-    out = F.size(F.filter(accs, lambda a: a > median + 2 * mad)) / n
-    robust = robust * F.when(out > 0, 1 + 0.5 * out).otherwise(1.0)
-    acc = F.when(line, F.greatest(F.lit(6.0), robust * F.greatest(q, F.sqrt(kappa / 10)))).otherwise(F.greatest(robust, robust * q))
-    conf = field("confidence")
-    conf = F.when(line, F.least(F.lit(0.69), conf / (1.2 * q))).otherwise(conf / F.sqrt(q))
-    alone = est[0]["position"]
-    return F.when(n == 0, F.lit(None)).when((n == 1) | (total == 0), alone).otherwise(
-        F.struct(lat.alias("latitude"), lon.alias("longitude"), field("altitude").alias("altitude"), acc.alias("accuracy"), conf.alias("confidence"))
-    )
+    n = F.size(est)
+
+    def means(total: Column) -> Column:
+        def field(c: str) -> Column:
+            return _sum(est, lambda e: F.try_divide(e["weight"], total) * e["position"][c]).alias(c)
+
+        return F.struct(total.alias("total"), field("latitude"), field("longitude"), field("altitude"), field("confidence"))
+
+    def shape(p: Column) -> Column:
+        dy, dx = (lambda e: e["position"]["latitude"] - p["latitude"]), (lambda e: e["position"]["longitude"] - p["longitude"])
+        kappa = let(
+            F.struct(_mean(est, lambda e: dy(e) * dy(e)).alias("yy"), _mean(est, lambda e: dx(e) * dx(e)).alias("xx"), _mean(est, lambda e: dx(e) * dy(e)).alias("xy")),
+            lambda v: condition_number(v["yy"], v["xx"], v["xy"]),
+        )
+        line = let(F.transform(est, lambda e: F.struct(e["position"]["latitude"].alias("lat"), e["position"]["longitude"].alias("lon"))), collinear)
+        both = F.struct(line.alias("line"), kappa.alias("kappa"))
+        return let(both, lambda v: F.struct(v["line"].alias("line"), v["kappa"].alias("kappa"), geometry_factor(v["line"], v["kappa"]).alias("q")))
+
+    def mid(a: Column) -> Column:
+        return (F.element_at(a, F.floor((n + 1) / 2).cast("int")) + F.element_at(a, F.floor(n / 2).cast("int") + 1)) / 2
+
+    def robust(accs: Column) -> Column:
+        cut = F.floor(n * 0.25).cast("int")
+        inner = F.slice(accs, cut + 1, F.greatest(n - 2 * cut, F.lit(1)))
+
+        def about(median: Column) -> Column:
+            trimmed = F.when(n <= 2, median).otherwise(_mean(inner, lambda a: a))
+            base = F.when(n <= 3, median).otherwise(0.7 * median + 0.3 * trimmed)
+            mad = let(F.sort_array(F.transform(accs, lambda a: F.abs(a - median))), mid)
+            out = let(mad, lambda m: F.size(F.filter(accs, lambda a: a > median + 2 * m)) / n)
+            return base * let(out, lambda o: F.when(o > 0, 1 + 0.5 * o).otherwise(1.0))
+
+        return let(mid(accs), about)
+
+    def joint(p: Column, g: Column, r: Column) -> Column:
+        acc = F.when(g["line"], F.greatest(F.lit(6.0), r * F.greatest(g["q"], F.sqrt(g["kappa"] / 10)))).otherwise(F.greatest(r, r * g["q"]))
+        conf = F.when(g["line"], F.least(F.lit(0.69), p["confidence"] / (1.2 * g["q"]))).otherwise(p["confidence"] / F.sqrt(g["q"]))
+        return F.struct(p["latitude"].alias("latitude"), p["longitude"].alias("longitude"), p["altitude"].alias("altitude"), acc.alias("accuracy"), conf.alias("confidence"))
+
+    def whole(p: Column) -> Column:
+        found = let(shape(p), lambda g: let(let(F.sort_array(F.transform(est, lambda e: e["position"]["accuracy"])), robust), lambda r: joint(p, g, r)))
+        return F.when((n == 1) | (p["total"] == 0), F.get(est, F.lit(0))["position"]).otherwise(found)
+
+    return F.when(n > 0, let(let(_sum(est, lambda e: e["weight"]), means), whole))
 
 
 def with_estimates(req: DataFrame, likelihood: bool = True) -> DataFrame:
@@ -461,9 +490,10 @@ def with_estimates(req: DataFrame, likelihood: bool = True) -> DataFrame:
         req = req.withColumn("maximum_likelihood", F.lit(None).cast(_POSITION))
     req = trilateration(req)
     req = req.withColumns({"proximity": proximity(aps), "weighted_centroid": weighted_centroid(aps), "rssi_ratio": rssi_ratio(aps), "log_distance": log_distance(aps)})
+    req = settled(req)
     mine = [F.struct(F.col("selected"), F.lit(n).alias("name"), (F.lit(WEIGHTS[n][4])).alias("base"), F.col(n.lower()).cast(_POSITION).alias("position")) for n in ALGORITHMS]
-    each = F.transform(F.array(*mine), lambda m: F.struct((F.filter(m["selected"], lambda c: c["algorithm"] == m["name"])[0]["weight"] * m["base"]).alias("weight"), m["name"].alias("name"), m["position"].alias("position")))
-    return req.withColumn("estimates", F.filter(each, lambda e: e["weight"].isNotNull() & e["position"].isNotNull()))
+    each = F.transform(F.array(*mine), lambda m: F.struct((F.get(F.filter(m["selected"], lambda c: c["algorithm"] == m["name"]), F.lit(0))["weight"] * m["base"]).alias("weight"), m["name"].alias("name"), m["position"].alias("position")))
+    return settled(req.withColumn("estimates", F.filter(each, lambda e: e["weight"].isNotNull() & e["position"].isNotNull())))
 
 
 def positions(scans: DataFrame, registry: DataFrame, likelihood: bool = True) -> DataFrame:
@@ -480,7 +510,7 @@ def positions(scans: DataFrame, registry: DataFrame, likelihood: bool = True) ->
     req = counted.groupBy("request_id").agg(F.sort_array(F.collect_list(one)).alias("raw"), F.count("*").alias("n_scans"), F.count("status").alias("n_known"))
     req = req.withColumn("physics", physics_ok(F.col("raw"))).withColumn("aps", F.filter("raw", lambda a: F.coalesce(a["valid"], F.lit(False)))).drop("raw")
     req = with_selection(with_context(req))
-    req = with_estimates(req, likelihood).withColumn("position", combine(F.col("estimates")))
+    req = settled(with_estimates(req, likelihood).withColumn("position", combine(F.col("estimates"))))
     methods = F.array_join(F.array_sort(F.transform("selected", lambda c: reduce(lambda a, kv: a.when(c["algorithm"] == kv[0], kv[1]), METHOD.items(), F.when(F.lit(False), "")))), ",")
     error = (
         F.when(~F.col("physics"), "physically impossible signals")
@@ -488,7 +518,7 @@ def positions(scans: DataFrame, registry: DataFrame, likelihood: bool = True) ->
         .when(F.size("aps") == 0, "no access points with valid status found")
         .when(F.col("position").isNull(), "position calculation failed")
     )
-    req = req.withColumn("error", error)
+    req = settled(req.withColumn("error", error))
     fine = F.col("error").isNull()
     return req.select(
         "request_id", F.when(fine, "SUCCESS").otherwise("ERROR").alias("result"), "error", *keep, "n_aps", "signal", "distribution", "geometry",

@@ -934,9 +934,3 @@ def s14(spark, sf_dir):
 
 #: Signal and geometry context of every request.
 FLAGSHIP = p04
-
-#: Not registered: their nested expressions grow beyond the driver's memory when projections collapse (see README).
-PENDING = ["P14_P15_weights", "P16_P17_selection", "P18_reasons", "P03_P20_result_ladder", "A05_trilateration", "A07_P19_P21_positions", "R04_method_counts"]
-for _name in PENDING:
-    QUERIES.pop(_name)
-    ORACLES.pop(_name, None)
