@@ -554,9 +554,9 @@ _PAIR_A = {
 _PAIRS = f"""{_J}, k as (select *, row_number() over (partition by request_id order by s desc, pos) as k, count(*) over (partition by request_id) as n_aps from j),
 o as (select {', '.join(f'{e} as {a}' for a, e in _PAIR_A.items())} from orders),
 pr as (select o.*, case when k.lat is not null and o.request_id % 9 <> 0 then 'SUCCESS' else 'ERROR' end as result_b, case when k.lat is null then 'No known access points found in database' when o.request_id % 9 = 0 then 'other failure' end as error_b,
-  case when o.request_id % 9 <> 0 then k.lat end as lat_b, case when o.request_id % 9 <> 0 then k.lon end as lon_b, case when o.request_id % 9 <> 0 then k.hacc end as acc_b, case when o.request_id % 9 <> 0 then least(85e-2, greatest(0, (k.s + 90) / 6e1)) end as conf_b, k.n_aps from o left join k on o.request_id = k.request_id and k.k = 1),
+  case when o.request_id % 9 <> 0 then k.lat end as lat_b, case when o.request_id % 9 <> 0 then k.lon end as lon_b, case when o.request_id % 9 <> 0 then k.hacc end as acc_b, case when o.request_id % 9 <> 0 and k.s is not null then least(85e-2, greatest(0, (k.s + 90) / 6e1)) end as conf_b, k.n_aps from o left join k on o.request_id = k.request_id and k.k = 1),
 sc as (select *, case when success_a is null then 'B_ONLY_ANALYSIS' when success_a and result_b = 'SUCCESS' then 'BOTH_WIFI_SUCCESS' when success_a and error_b like 'No known%' and acc_a >= 250 then 'A_CELL_FALLBACK_DETECTED' when success_a and acc_a >= 250 then 'A_SUCCESS_B_ERROR_CELL' when success_a then 'A_SUCCESS_B_ERROR_WIFI' when result_b = 'SUCCESS' then 'A_ERROR_B_SUCCESS' else 'BOTH_INSUFFICIENT_DATA' end as scenario,
-  round(2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(lat_b - lat_a) / 2), 2) + cos(radians(lat_a)) * cos(radians(lat_b)) * pow(sin(radians(lon_b - lon_a) / 2), 2)))), 6) as d0 from pr),
+  case when lat_a is not null and lat_b is not null then round(2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(lat_b - lat_a) / 2), 2) + cos(radians(lat_a)) * cos(radians(lat_b)) * pow(sin(radians(lon_b - lon_a) / 2), 2)))), 6) end as d0 from pr),
 cmp as (select *, case when scenario in ('A_CELL_FALLBACK_DETECTED', 'A_SUCCESS_B_ERROR_CELL', 'A_SUCCESS_B_ERROR_WIFI') then null else d0 end as distance_m,
   case when scenario in ('A_CELL_FALLBACK_DETECTED', 'A_SUCCESS_B_ERROR_CELL') then 'CELL' when scenario = 'BOTH_INSUFFICIENT_DATA' then 'NONE' else 'WIFI' end as location_type from sc)"""
 
