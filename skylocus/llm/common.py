@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,22 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*done: DataFrame) -> None:
+    """Give back the disk of steps that are over: tables written by ``cut`` that nothing reads any more, and shuffles.
+
+    Executors keep the files of a shuffle until the driver's JVM finds that no plan refers to it, which
+    may be long after; what was written by ``cut`` since then no longer needs them.
+    """
+    for df in done:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if done:
+        gc.collect()
+        done[0].sparkSession._jvm.System.gc()
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

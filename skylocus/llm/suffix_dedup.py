@@ -6,7 +6,8 @@ document with a smaller id, judged on the input; matches never cross documents.
 No machine can sort the suffixes of a corpus, so they are dealt out exactly: each string of WIDTH bytes
 is filed under the leftmost smallest hash of its ``GRAM``-byte pieces, which equal strings share. The
 strings of a document under one such anchor lie side by side; the stretch they cover is sent to the
-anchor's group if documents of different text share that anchor. Equal stretches are sent on as one, with their
+anchor's group if documents of different ids share that anchor; of whole copies only the smallest id is
+looked at, the others go entirely. Equal stretches are sent on as one, with their
 smallest id. All groups of a task's batch are sorted at once: suffixes are grouped by their Lyndon prefix,
 groups taken in descending order along previous-smaller pointers, and each group's order then emitted
 from the ranks of the next smaller suffixes. Neighbours in the array that agree on WIDTH bytes form a
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, texts
+from .common import bound_batches, cut, release, texts
 
 WIDTH = 50
 GRAM = 26
@@ -217,7 +218,7 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("code", "piece", "low"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("code", "piece", "low", "high"))):
             if size > SORT_BYTES and row[0] != held[-1][0]:
                 yield decide(held)
                 held, size = [], 0
@@ -228,7 +229,10 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decide(rows: list[tuple]) -> pa.RecordBatch:
-    """code, piece and runs (first and last start, smallest id) of (code, piece, smallest id) rows."""
+    """code, piece and runs (first and last start, smallest id) of (code, piece, smallest id, largest id) rows.
+
+    Runs that no document of the stretch can lose by, as none has a larger id, are left out.
+    """
     code = np.array([r[0] for r in rows], np.int64)
     low = np.array([r[2] for r in rows], np.int64)
     length = np.array([len(r[1]) for r in rows], np.int64)
@@ -256,6 +260,8 @@ def decide(rows: list[tuple]) -> pa.RecordBatch:
     owner = text[order]
     cuts = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(least) != 0)])
     lasts = np.r_[cuts[1:], len(order)] - 1
+    needed = least[cuts] < np.array([r[3] for r in rows], np.int64)[owner[cuts]]
+    cuts, lasts = cuts[needed], lasts[needed]
     fields = [pa.array(order[cuts] - begin[owner[cuts]], pa.int32()), pa.array(order[lasts] - begin[owner[cuts]], pa.int32()), pa.array(least[cuts])]
     runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[cuts], np.arange(len(rows) + 1)), pa.int32()), pa.StructArray.from_arrays(fields, ["first", "last", "low"]))
     return pa.RecordBatch.from_arrays([pa.array(code), pa.array([r[1] for r in rows], pa.binary()), runs], names=["code", "piece", "runs"])
@@ -298,27 +304,36 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     long = rows.where(F.octet_length("text") >= WIDTH)
 
-    # whole copies: all goes from any but the smallest id
+    # whole copies: all goes from any but the smallest id, so only that one is searched
     known = long.select("id", "mark", F.octet_length("text").alias("b"), F.unhex(F.sha2("text", 256)).alias("digest"))
     least = known.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     copies = cut(known.join(least, "digest").where("id > least").select("id", "mark", F.lit(0).alias("a"), "b").distinct(), "suffix-copies")
-
-    spots = cut(long.select("id", "mark", "text").mapInArrow(_spots, "code long, id long, mark long, at int, size int"), "suffix-spots")
-    shared = spots.groupBy("code").agg(F.min("mark").alias("m"), F.max("mark").alias("n")).where("m <> n").select("code")
-    wanted = spots.join(shared, "code").join(copies.select("id", "mark"), ["id", "mark"], "left_anti")
-    wanted = wanted.groupBy("id", "mark").agg(F.collect_set(F.struct("at", "size", "code")).alias("spots"))
-    pieces = cut(long.join(wanted, ["id", "mark"]).select("id", "mark", "text", "spots").mapInArrow(_stretches, "code long, piece binary, id long, mark long, at int"), "suffix-pieces")
-
-    distinct = pieces.groupBy("code", "piece").agg(F.min("id").alias("low"))
-    big = cut(distinct.groupBy("code").count().where(F.col("count") > group_texts).select("code", F.lit(True).alias("big")), "suffix-big")
-    sorted_out = pieces.join(big, "code", "left")
+    alone = cut(long.select("id", "mark", "text").join(copies.select("id", "mark"), ["id", "mark"], "left_anti"), "suffix-alone")
+
+    spots = cut(alone.mapInArrow(_spots, "code long, id long, mark long, at int, size int"), "suffix-spots")
+    shared = cut(spots.groupBy("code").agg(F.min("id").alias("m"), F.max("id").alias("n")).where("m <> n").select("code"), "suffix-shared")
+    release(known)
+    wanted = cut(spots.join(shared, "code").groupBy("id", "mark").agg(F.collect_set(F.struct("at", "size", "code")).alias("spots")), "suffix-wanted")
+    release(spots, shared)
+    pieces = cut(alone.join(wanted, ["id", "mark"]).select("id", "mark", "text", "spots").mapInArrow(_stretches, "code long, piece binary, id long, mark long, at int"), "suffix-pieces")
+    release(alone, wanted)
+
+    distinct = cut(pieces.groupBy("code", "piece").agg(F.min("id").alias("low"), F.max("id").alias("high")), "suffix-distinct")
+    big = cut(distinct.groupBy("code").count().where(F.col("count") > group_texts).select("code"), "suffix-big")
     starts = F.explode(F.sequence(F.lit(0), F.length("piece") - WIDTH)).alias("k")
-    single = sorted_out.where("big").select("piece", "id", "mark", "at", starts).select(F.expr(f"substring(piece, k + 1, {WIDTH})").alias("piece"), "id", "mark", (F.col("at") + F.col("k")).alias("at"))
-    filed = sorted_out.where("big is null").select("code", "piece", "id", "mark", "at").union(single.select(F.xxhash64("piece").alias("code"), "piece", "id", "mark", "at"))
-    groups = filed.groupBy("code", "piece").agg(F.min("id").alias("low"))
-    verdict = cut(groups.repartition("code").sortWithinPartitions("code").mapInArrow(_owners, "code long, piece binary, runs array<struct<first int, last int, low long>>"), "suffix-runs")
-    runs = filed.join(verdict, ["code", "piece"]).select("id", "mark", "at", F.explode("runs").alias("r")).where("r.low < id")
+    string = F.expr(f"substring(piece, k + 1, {WIDTH})").alias("piece")
+    refiled = distinct.join(big, "code").select("piece", "low", "high", starts).select(string, "low", "high").groupBy("piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    groups = distinct.join(big, "code", "left_anti").select("code", "piece", "low", "high").union(refiled.select(F.xxhash64("piece"), "piece", "low", "high"))
+    verdict = groups.repartition("code").sortWithinPartitions("code").mapInArrow(_owners, "code long, piece binary, runs array<struct<first int, last int, low long>>")
+    # 128 bits stand for a stretch on the way back to its places
+    name = [F.xxhash64("piece").alias("h"), F.xxhash64(F.lit(WIDTH), "piece").alias("g")]
+    verdict = cut(verdict.where(F.size("runs") > 0).select(*name, "runs"), "suffix-runs")
+    release(distinct)
+    places = pieces.join(big, "code", "left_anti").select(*name, "id", "mark", "at")
+    single = pieces.join(big, "code").select("piece", "id", "mark", "at", starts).select(string, "id", "mark", (F.col("at") + F.col("k")).alias("at"))
+    runs = places.union(single.select(*name, "id", "mark", "at")).join(verdict, ["h", "g"]).select("id", "mark", "at", F.explode("runs").alias("r")).where("r.low < id")
     spans = runs.select("id", "mark", (F.col("at") + F.col("r.first")).alias("a"), (F.col("at") + F.col("r.last") + WIDTH).alias("b")).union(copies)
     spans = cut(spans.groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-spans")
+    release(pieces, verdict, big, copies)
     out = rows.join(spans, ["id", "mark"], "left").select("doc", "text", "spans").mapInArrow(_cut_out, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start int, end int>>")
     return out.withColumnRenamed("doc", id_col)

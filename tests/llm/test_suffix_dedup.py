@@ -70,7 +70,7 @@ def test_refiled_groups_match_brute_force(spark, make_docs):
 def test_a_hash_may_collide(spark, make_docs, monkeypatch):
     """Groups of unlike anchors only cost time."""
     texts = ["a" * 20 + "b" * 40 + str(k) * 60 for k in range(5)]
-    rows = [(7, t.encode(), i) for i, t in enumerate(texts)]
+    rows = [(7, t.encode(), i, i) for i, t in enumerate(texts)]
     owners = {r["piece"]: r["runs"] for r in op.decide(rows).to_pylist()}
     assert owners[texts[4].encode()][0] == {"first": 0, "last": 10, "low": 0}
 
