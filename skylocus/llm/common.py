@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch. Texts can be long, so batches of documents are short.
 BATCH_ROWS = 256
+#: Folders that ``cut`` has made and ``release`` may delete.
+_OWN: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,23 +43,28 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _OWN.add(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
 
 
-def release(*done: DataFrame) -> None:
-    """Give back the disk of steps that are over: tables written by ``cut`` that nothing reads any more, and shuffles.
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Give back the disk of steps that are over: tables that ``cut`` returned and nothing reads any more, and shuffles.
 
-    Executors keep the files of a shuffle until the driver's JVM finds that no plan refers to it, which
-    may be long after; what was written by ``cut`` since then no longer needs them.
+    Only folders that ``cut`` made in this process are ever deleted; for any other frame this raises
+    before anything is gone, so an input cannot be lost. Executors keep the files of a shuffle until the driver's JVM finds
+    that no plan refers to it, which may be long after; what ``cut`` wrote since then no longer needs them.
     """
-    for df in done:
-        spark = df.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if done:
-        gc.collect()
-        done[0].sparkSession._jvm.System.gc()
+    paths = [getattr(df, "_cut_path", None) for df in done]
+    if not all(path in _OWN for path in paths):
+        raise ValueError("only what cut() returned can be released")
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _OWN.discard(path)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def texts(column: pa.Array) -> list[bytes]:
