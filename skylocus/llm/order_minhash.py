@@ -12,6 +12,12 @@ inside a band of ``(1 - LEAST) * longer`` costs no more than that: similarity is
 Pairs are verified in two rounds, first the pair of most shared buckets of each text, then those whose
 ends the first links left apart. Classes are the components of the links.
 
+Then the rest is done exactly: in each bucket that still holds several classes, all pairs of different
+classes are compared, in blocks of members dealt by salt, by counts of words folded into ``FOLDS``, whose
+differences are never more than those of the texts. Pairs within the bound are verified: first the nearest
+of each member, whose links join most classes, then its ``NEAR`` nearest, and at last all that are still
+apart. So no pair of a bucket stays unverified unless its ends are in one class already or cannot be alike.
+
 Cases: null text is empty; texts without words are one class; a text of fewer than ``K`` words is one
 k-mer, and one with fewer k-mers than ``PICK`` keeps all. Rows that repeat an id each give a row. Rows
 without id are in no class (null). Other columns are ignored; an empty table gives an empty result.
@@ -35,6 +41,10 @@ from .components import components
 K, PICK, SKETCHES, LEAST = 5, 2, 24, 0.8
 #: Ids of at most so many candidate texts (16 MB) are broadcast to pick out their texts.
 BROADCAST_IDS = 2_000_000
+#: Counters of words that bound the edits of a pair from below, and members of one block of a bucket.
+FOLDS, BLOCK = 256, 1024
+#: Nearest members that the second round on the rest verifies before all.
+NEAR = 8
 #: Words whose hash a worker keeps.
 CACHE = 400_000
 
@@ -106,22 +116,28 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def folded(h: np.ndarray) -> bytes:
+    """Counts of words folded into ``FOLDS``, up to 255: neither folding nor the limit adds to a difference."""
+    return np.minimum(np.bincount((h & _U(FOLDS - 1)).astype(np.int64), minlength=FOLDS), 255).astype(np.uint8).tobytes()
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Hashes()
     for batch in batches:
-        keys, sizes, found = [], [], []
+        keys, sizes, found, folds = [], [], [], []
         for raw in texts(batch.column("text")):
             words = raw.decode("utf-8", "replace").lower().split()
             h = np.fromiter(map(known.__getitem__, words), _U, len(words))
             keys.append(xxhash.xxh3_128_digest("\n".join(words).encode()))
             sizes.append(len(words))
             found.append(sketch(h))
-        arrays = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", "key", "n", "sketch"])
+            folds.append(folded(h))
+        arrays = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(folds, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", "key", "n", "sketch", "folds"])
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each bucket from rows in order; also, as rows of kind 1, a partition's first and last member."""
+    """Pairs of each bucket from rows in order; also, as rows of kind 1, a partition's first and last member, and of kind 2 the members of buckets of several."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8()]
     names = ["a", "b", "bucket", "n", "kind"]
 
@@ -141,6 +157,11 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = bucket == before
         if last is None:
             same[0] = False
+        shared = same | np.append(same[1:], False)
+        members = [np.concatenate([[was], own[shared]]) if same[0] else own[shared] for own, was in zip((ids, bucket, n), (last[2], last[0], last[1]) if last else (0, 0, 0))]
+        if len(members[0]):
+            size = len(members[0])
+            yield pa.RecordBatch.from_arrays([pa.array(members[0], pa.int64()), pa.nulls(size, pa.int64()), pa.array(members[1], pa.int64()), pa.array(members[2], pa.int32()), pa.array(np.full(size, 2, np.int8))], names=names)
         for i in np.flatnonzero(same):
             b, size, own = int(bucket[i]), int(n[i]), int(ids[i])
             was_n, was = (int(n[i - 1]), int(ids[i - 1])) if i else (last[1], last[2])
@@ -160,6 +181,52 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([(x[2], None, x[0], x[1], 1) for x in (first, last)])
 
 
+def _meet(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of different classes that may be alike, from rows in order of bucket and block (low, high): all, or the ``most`` nearest of each member."""
+
+    def block(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, n, of, salt = (t.column(c).to_numpy() for c in ("id", "n", "class", "salt"))
+        if of.min() == of.max():
+            return
+        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+        folds = np.frombuffer(b"".join(t.column("folds").to_pylist()), np.uint8).reshape(-1, FOLDS)
+        right = np.flatnonzero(salt == high)
+        for i in np.flatnonzero(salt == low):
+            at = right[right > i] if low == high else right
+            longer = np.maximum(n[at], n[i])
+            fit = (of[at] != of[i]) & (np.minimum(n[at], n[i]) >= LEAST * longer)
+            at, longer = at[fit], longer[fit]
+            if not len(at):
+                continue
+            more = folds[at].astype(np.int16) - folds[i]
+            up = np.maximum(more, 0).sum(1)
+            bound = np.maximum(up, up - more.sum(1))
+            fit = (bound <= np.floor((1 - LEAST) * longer + 1e-9)) & (ids[at] != ids[i])
+            at = at[fit]
+            if most is not None and len(at) > most:
+                at = at[np.lexsort((ids[at], bound[fit]))[:most]]
+            yield np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])
+
+    def out(found: list) -> pa.RecordBatch:
+        a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        if not len(t):
+            continue
+        key = np.stack([t.column(c).to_numpy() for c in ("bucket", "low", "high")])
+        starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
+        for x, y in zip(starts, starts[1:]):
+            if found := list(block(t.slice(x, y - x))):
+                yield out(found)
+        rest = t.slice(starts[-1])
+    if rest is not None:
+        yield out(list(block(rest)))
+
+
 def edits(a: list[int], b: list[int], most: int) -> int | None:
     """Least number of word edits between ``a`` and ``b`` if at most ``most``: furthest-reaching points inside the band."""
     n, m = len(a), len(b)
@@ -213,6 +280,10 @@ def alike(a: str, b: str, least: float = LEAST) -> bool:
     cx, cy = Counter(x), Counter(y)
     if max((cx - cy).total(), (cy - cx).total()) > most:
         return False
+    # an edit takes away two pairs of neighbours at most
+    px, py = Counter(zip(x, x[1:])), Counter(zip(y, y[1:]))
+    if max((px - py).total(), (py - px).total()) > 2 * most:
+        return False
     number: dict[str, int] = {}
     return edits([number.setdefault(w, len(number)) for w in x], [number.setdefault(w, len(number)) for w in y], most) is not None
 
@@ -228,13 +299,43 @@ def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return cut(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "omh-links")
 
 
+def _held(rows: DataFrame, pairs: DataFrame, again: bool) -> DataFrame:
+    """The texts of the pairs; one row for each id, if rows repeat."""
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "omh-ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    held = cut(rows.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "omh-held")
+    return held.dropDuplicates(["id"]) if again else held
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different classes."""
+    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    both = pairs.join(la, "a", "left").join(lb, "b", "left")
+    return both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def _rest(members: DataFrame, labels: DataFrame, texts_of: DataFrame, done: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b) of different classes of one bucket that may be alike and are not in ``done``: all, or the ``most`` nearest of each member."""
+    members = members.join(labels, members.id == labels.node, "left").select("id", "bucket", "n", F.coalesce("label", "id").alias("class"))
+    mixed = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("x"), F.max("class").alias("y"))
+    mixed = mixed.where("x < y and size > 2").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("salts"))
+    dealt = cut(members.join(mixed, "bucket").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")), "omh-mixed")
+    dealt = dealt.join(texts_of.select("id", "folds"), "id")
+    dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = dealt.select("bucket", F.least("salt", "to").alias("low"), F.greatest("salt", "to").alias("high"), "salt", "id", "n", "class", "folds")
+    bound_batches(members.sparkSession, 8192)
+    met = cut(dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(lambda batches: _meet(batches, most), "a long, b long"), "omh-met")
+    bound_batches(members.sparkSession, 64)
+    return cut(met.distinct().join(done, ["a", "b"], "left_anti"), "omh-rest")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col`` and class_id, the smallest id of its class."""
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = cut(rows.where("id is not null").mapInArrow(_sketched, "id long, key binary, n int, sketch array<long>"), "omh-sketches")
-    texts_of = cut(base.groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "omh-texts")
+    base = cut(rows.where("id is not null").mapInArrow(_sketched, "id long, key binary, n int, sketch array<long>, folds binary"), "omh-sketches")
+    texts_of = cut(base.groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("folds").alias("folds")), "omh-texts")
 
     buckets = texts_of.select(F.explode("sketch").alias("bucket"), "n", "id")
     dealt = buckets.repartitionByRange("bucket", "n", "id").sortWithinPartitions("bucket", "n", "id")
@@ -248,18 +349,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ends = ends.select(F.least("was", "id").alias("a"), F.greatest("was", "id").alias("b"))
     pairs = cut(walked.where("kind = 0").select("a", "b").unionByName(ends).groupBy("a", "b").count(), "omh-pairs")
 
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "omh-ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    held = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    # one row for each id, if rows repeat
-    held = cut(held, "omh-held").dropDuplicates(["id"]) if _repeats(base) else cut(held, "omh-held")
+    again = _repeats(base)
+    held = _held(rows, pairs, again)
     first = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")), "omh-first")
     links = _links(first, held)
     labels = components(links)
-    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    apart = pairs.join(first, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
-    apart = cut(apart.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "omh-apart")
-    labels = components(links.unionByName(_links(apart, held)))
+    apart = cut(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels), "omh-apart")
+    links = cut(links.unionByName(_links(apart, held)), "omh-links")
+    labels = components(links)
+
+    members = cut(walked.where("kind <> 0").select(F.col("a").alias("id"), "bucket", "n").distinct(), "omh-members")
+    done = pairs.select("a", "b")
+    for most in (1, NEAR, None):
+        rest = _rest(members, labels, texts_of, done, most)
+        if not rest.isEmpty():
+            links = cut(links.unionByName(_links(rest, _held(rows, rest, again))), "omh-links")
+            labels = components(links)
+            done = done.unionByName(rest)
 
     of = texts_of.select("key", "id").join(labels, texts_of.id == labels.node, "left").select("key", F.coalesce("label", "id").alias("class_id"))
     known = base.select("id", "key").join(cut(of, "omh-classes"), "key").select("id", "class_id")

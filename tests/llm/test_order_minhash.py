@@ -147,3 +147,40 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: root(i) for i in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def edited(rng, words, share):
+    """``words`` with ``share`` of them substituted, inserted or deleted."""
+    own = list(words)
+    for _ in range(round(share * len(words))):
+        k, kind = rng.randrange(len(own)), rng.randrange(3)
+        own[k : k + (kind != 1)] = [] if kind == 2 else [f"e{rng.randrange(10**6)}"]
+    return own
+
+
+def test_copies_alike_their_original_only(spark, make_docs):
+    """No pair of a bucket is left out: each copy that shares a bucket with the original and is alike is in its class."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    texts = [words] + [edited(rng, words, 0.15) for _ in range(399)]
+    sketches = [set(op.sketch(np.array([op._Hashes()[w] for w in t], np.uint64)).tolist()) for t in texts]
+    got = {r.doc_id: r.class_id for r in op.classes(make_docs([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    met = [i for i in range(1, 400) if sketches[0] & sketches[i] and op.alike(" ".join(words), " ".join(texts[i]))]
+    assert len(met) > 200 and [i for i in met if got[i] != 0] == []
+
+
+def test_folded_counts_and_neighbours_never_cut():
+    rng = random.Random(12)
+    known = op._Hashes()
+    for _ in range(300):
+        a = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(5, 60))]
+        b = edited(rng, a, rng.random() * 0.5) or ["x"]
+        x, y = (np.frombuffer(op.folded(np.array([known[w] for w in t], np.uint64)), np.uint8).astype(int) for t in (a, b))
+        assert max(np.maximum(x - y, 0).sum(), np.maximum(y - x, 0).sum()) <= distance(a, b)
+        n = max(len(a), len(b))
+        assert op.alike(" ".join(a), " ".join(b)) == (distance(a, b) <= int(0.2 * n + 1e-9))
+
+
+def test_rest_in_many_blocks(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK", 16)
+    test_copies_alike_their_original_only(spark, make_docs)
