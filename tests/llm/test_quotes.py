@@ -67,3 +67,31 @@ def test_expected_threads(spark):
 
 def test_empty(spark):
     assert op.link(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_some_lines_of_a_message(spark):
+    rows = [
+        (1, 0, "user", "One\nTwo\n\nThree\nFour\nFive"),
+        (1, 1, "user", "Two\nother"),
+        (1, 2, "user", "> two\n> THREE\nlines 2 and 3"),
+        (1, 3, "user", "> Two\n> [...]\n> Five\nmost, trimmed"),
+        (1, 4, "user", "> Five\n> One\nnot in order"),
+        (1, 5, "user", "> Two\n>\n> Five\nwith a gap"),
+        (1, 6, "user", "Two\nThree"),
+        (1, 7, "user", "> two\n> three\nthe latest"),
+        (1, 8, "user", "> Two\n> Five\n>> Two\n>> Three\nleast level first"),
+        (1, 9, "user", "> One\n> Two\n> other\nmost in two messages"),
+        (2, 0, "user", "> Two\n> Three\nother conversation"),
+        (3, 0, "user", "a"),
+        (3, 0, "user", "b"),
+        (3, 1, "user", "> a\n> b\ntwo rows of one turn"),
+        (4, 0, "user", "x\ny x"),
+        (4, 1, "user", "> x\n> y\n> x\nsame words, other lines"),
+    ]
+    got = {(r.conv_id, r.turn): (r.n_linked, r.reply_to) for r in op.link(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    want = {(1, 2): (1, 0), (1, 3): (1, 0), (1, 5): (1, 0), (1, 7): (1, 6), (1, 8): (2, 0), (1, 9): (1, 1), (4, 1): (1, 0)}
+    assert got == {(c, t): want.get((c, t), (0, None)) for c, t, *_ in rows}
+
+
+def test_in_order():
+    assert op.in_order([]) == 0 and op.in_order([(0, 3), (1, 1), (1, 4), (2, 2)]) == 2 and op.in_order([(0, 5), (0, 6)]) == 1
