@@ -1,3 +1,4 @@
+import textwrap
 from collections import Counter
 
 from skylocus.llm import licenses as op
@@ -50,3 +51,39 @@ def test_cases(spark, make_docs):
 
 def test_dice_counts_repeats():
     assert op.dice(Counter({"a": 2}), Counter({"a": 1})) == 2 / 3
+
+
+def best_window(text, name, k):
+    """The highest score of all windows of words with no fewer bigrams."""
+    t, found = op.bigrams(op.words(op.TEMPLATES[name][k])), op.words(text)
+    return max(op.dice(t, op.bigrams(found[x:y])) for x in range(len(found)) for y in range(x + t.total() + 1, min(len(found), x + 2 * t.total()) + 1))
+
+
+def test_wrapped_and_embedded_notices(spark, make_docs):
+    prose = [f"some other words number {i} that say nothing about terms" for i in range(12)]
+    rows, want = [], {}
+    for i, (name, k) in enumerate([("MIT", 1), ("GPL-3.0", 1), ("Apache-2.0", 2), ("BSD", 0), ("CC-BY-SA-4.0", 1), ("MIT", 0)]):
+        notice = op.TEMPLATES[name][k].replace("free of charge", "free of any charge")
+        wrapped = "\n".join([*prose, *textwrap.wrap(notice, 40), *prose])
+        within = " ".join([*prose, notice, *prose])
+        rows += [(2 * i, wrapped), (2 * i + 1, within)]
+        want |= {2 * i + j: (name, k, round(best_window(text, name, k), 9)) for j, text in enumerate((wrapped, within))}
+    found = [tuple(r) for r in op.scan(make_docs(rows)).collect()]
+    assert {r[0]: (r[1], r[2], round(r[3], 9)) for r in found} == want and len(found) == len(rows)
+
+
+def test_windows_do_not_overlap():
+    scanner = op.Scanner(op.TEMPLATES, op.LEAST)
+    gpl = op.TEMPLATES["GPL-3.0"][1]
+    two = "a b c " + "\n".join(textwrap.wrap(gpl, 60)) + "\nd e f " + gpl.lower() + " g h i " * 30
+    assert scanner.document(two) == {"GPL-3.0": (1.0, 1, 2)}
+    assert scanner.document("words " * 50 + "permission is granted to any person " * 5) == {}
+
+
+def test_wrapped_notice_with_words_missing():
+    scanner = op.Scanner(op.TEMPLATES, op.LEAST)
+    notice = op.words(op.TEMPLATES["MIT"][1])
+    kept = notice[: round(len(notice) * 0.75)]
+    n, s = len(kept) - 1, len(notice) - 1
+    assert scanner.document("\n".join(["words before it"] * 9 + [*textwrap.wrap(" ".join(kept), 50), *["after it"] * 9])) == {"MIT": (2 * n / (n + s), 1, 1)}
+    assert scanner.document("released under the mit licence") == {}
