@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skylocus.functions.wifi import clamp, haversine_m
 
-#: Rows of one access point that one task handles in the per-access-point numeric operators; a larger one is dealt over blocks.
+#: Rows of one access point that one task handles in the per-access-point numeric operators; a larger one is dealt over blocks, with the same result.
 BLOCK_ROWS = 5_000
 
 
@@ -57,14 +57,21 @@ def neighbour_stability(m: DataFrame, batch: str = "processing_batch_id") -> Dat
     return rows.withColumn("j", F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("near", "was")) / union)).groupBy("bssid").agg(F.count("*").alias("n"), F.round(F.avg("j"), 6).alias("stability"))
 
 
-def _by_block(m: DataFrame) -> DataFrame:
-    """Deals access points with many rows over blocks of about ``BLOCK_ROWS`` by a hash of the row."""
-    n = F.count("*").over(Window.partitionBy("bssid"))
-    return m.withColumn("_n", n).withColumn("block", F.pmod(F.xxhash64("event_id"), F.greatest(F.lit(1), F.ceil(F.col("_n") / BLOCK_ROWS)))).drop("_n")
+def _cut(df: DataFrame) -> DataFrame:
+    from skylocus.llm.common import cut
+
+    return cut(df, "localize")
+
+
+def _by_size(m: DataFrame, *sums: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of access points of up to ``BLOCK_ROWS`` rows, and of larger ones with their number ``_n`` and ``sums``."""
+    of = m.groupBy(F.col("bssid").alias("_of")).agg(F.count("*").alias("_n"), *sums)
+    rows = m.join(of, m.bssid.eqNullSafe(F.col("_of"))).drop("_of")
+    return rows.where(F.col("_n") <= BLOCK_ROWS).select(*m.columns), rows.where(F.col("_n") > BLOCK_ROWS)
 
 
 def local_outlier_factor(m: DataFrame, k: int = 10) -> DataFrame:
-    """L-04: factor of each row among its access point's, by ``k`` nearest; large access points by blocks."""
+    """L-04: factor of each row among its access point's, by ``k`` nearest. The rows of a large one meet all others of it, block by block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lat, lon = pdf["latitude"].to_numpy(float), pdf["longitude"].to_numpy(float)
@@ -83,8 +90,37 @@ def local_outlier_factor(m: DataFrame, k: int = 10) -> DataFrame:
         density = 1 / np.maximum(reach.mean(1), 1e-9)
         return pd.DataFrame({"bssid": pdf["bssid"], "event_id": pdf["event_id"], "lof": density[near].mean(1) / density})
 
-    rows = _by_block(m.select("bssid", "event_id", "latitude", "longitude"))
-    return rows.groupBy("bssid", "block").applyInPandas(run, f"bssid string, event_id {m.schema['event_id'].dataType.simpleString()}, lof double")
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, has = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        own, ids = asks["row"].to_numpy(), has["row"].to_numpy()
+        a, b = asks[["x", "y"]].to_numpy(float), has[["x", "y"]].to_numpy(float)
+        out = []
+        for i in range(0, len(a), 256):
+            d = np.sqrt(((a[i : i + 256, None, :] - b[None]) ** 2).sum(2))
+            d[own[i : i + 256, None] == ids[None]] = np.inf
+            at = np.argsort(d, 1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"row": np.repeat(own[i : i + 256], at.shape[1]), "near": ids[at].ravel(), "d": np.take_along_axis(d, at, 1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"row": own, "near": own, "d": own.astype(float)})
+
+    kind = f"bssid string, event_id {m.schema['event_id'].dataType.simpleString()}, lof double"
+    small, large = _by_size(m.select("bssid", "event_id", "latitude", "longitude"), F.avg("latitude").alias("_lat"))
+    done = small.groupBy("bssid").applyInPandas(run, kind)
+    if large.isEmpty():
+        return done
+    k_lat = F.lit(111_320.0)
+    large = large.select(F.monotonically_increasing_id().alias("row"), "bssid", "event_id", "_n", (F.col("latitude") * k_lat).alias("x"), (F.col("longitude") * k_lat * F.cos(F.radians("_lat"))).alias("y"))
+    rows = _cut(large.withColumn("_of", F.ceil(F.col("_n") / BLOCK_ROWS)).withColumn("_in", F.pmod(F.xxhash64("row"), F.col("_of"))))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1))
+    asks = rows.select("bssid", F.col("_in").alias("_ask"), each.alias("_has"), "row", "x", "y", F.lit(True).alias("asks"))
+    has = rows.select("bssid", each.alias("_ask"), F.col("_in").alias("_has"), "row", "x", "y", F.lit(False).alias("asks"))
+    met = asks.unionByName(has).groupBy("bssid", "_ask", "_has").applyInPandas(nearest, "row long, near long, d double").where("row <> near")
+    near = _cut(met.groupBy("row").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "near"))), 1, k).alias("nn")))
+    pairs = near.select("row", F.explode("nn").alias("p")).select("row", F.col("p.near").alias("near"), F.col("p.d").alias("d"))
+    edge = near.select(F.col("row").alias("near"), F.element_at("nn", -1)["d"].alias("edge"))
+    density = _cut(pairs.join(edge, "near").groupBy("row").agg((1 / F.greatest(F.avg(F.greatest("d", "edge")), F.lit(1e-9))).alias("density")))
+    around = pairs.join(density.withColumnRenamed("row", "near"), "near").groupBy("row").agg(F.avg("density").alias("around"))
+    lof = rows.join(density, "row").join(around, "row").select("bssid", "event_id", (F.col("around") / F.col("density")).alias("lof"))
+    return done.unionByName(lof)
 
 
 def relocation(m: DataFrame, drift: float = 0.5, limit: float = 5.0) -> DataFrame:
@@ -132,7 +168,7 @@ def smooth_rssi(m: DataFrame, process: float = 1.0, noise: float = 9.0) -> DataF
 
 
 def estimate(m: DataFrame, prior_m: float = 50.0, rounds: int = 50) -> DataFrame:
-    """L-08: maximum a posteriori position by path loss, exponent and noise by connection; the prior is the centroid. One pass of sufficient blocks: each block gives an estimate and its weight, which are then averaged."""
+    """L-08: maximum a posteriori position by path loss, exponent and noise by connection; the prior is the centroid. A large access point's scores and gradients are summed over all its rows in each round."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lat, lon, s = (pdf[c].to_numpy(float) for c in ("latitude", "longitude", "rssi"))
@@ -161,10 +197,39 @@ def estimate(m: DataFrame, prior_m: float = 50.0, rounds: int = 50) -> DataFrame
         out = c0 + at / np.array([k, k * np.cos(np.radians(c0[0]))])
         return pd.DataFrame({"bssid": [pdf["bssid"].iloc[0]], "lat": [out[0]], "lon": [out[1]], "rows": [len(pdf)]})
 
-    rows = _by_block(m.select("bssid", "event_id", "latitude", "longitude", F.col("rssi").cast("double").alias("rssi"), "connection_status", "quality_weight"))
-    blocks = rows.groupBy("bssid", "block").applyInPandas(run, "bssid string, lat double, lon double, rows long")
-    mean = lambda c: F.sum(F.col(c) * F.col("rows")) / F.sum("rows")
-    return blocks.groupBy("bssid").agg(mean("lat").alias("latitude"), mean("lon").alias("longitude"), F.sum("rows").alias("n"))
+    rows = m.select("bssid", "event_id", "latitude", "longitude", F.col("rssi").cast("double").alias("rssi"), "connection_status", "quality_weight")
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+    w = value("quality_weight") * F.pow(F.lit(10.0), value("rssi") / 10)
+    small, large = _by_size(rows, *[(F.sum(w * value(c)) / F.sum(w)).alias(o) for c, o in (("latitude", "_lat"), ("longitude", "_lon"))])
+    done = small.groupBy("bssid").applyInPandas(run, "bssid string, lat double, lon double, rows long").select("bssid", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.col("rows").alias("n"))
+    if large.isEmpty():
+        return done
+    k = F.lit(111_320.0)
+    on = F.col("connection_status") == "CONNECTED"
+    large = _cut(large.select("bssid", "_lat", "_lon", "_n", ((value("latitude") - F.col("_lat")) * k).alias("x"), ((value("longitude") - F.col("_lon")) * k * F.cos(F.radians("_lat"))).alias("y"), value("rssi").alias("s"), F.when(on, 2.5).otherwise(3.0).alias("path"), F.when(on, 4.0).otherwise(6.0).alias("sd")))
+
+    def scored(to: DataFrame) -> DataFrame:
+        """The score and its gradient at (px, py) of each access point."""
+        at = large.select("bssid", "x", "y", "s", "path", "sd").join(F.broadcast(to.select(F.col("bssid").alias("_of"), "px", "py")), F.col("bssid").eqNullSafe(F.col("_of")))
+        dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
+        at = at.withColumn("d", F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1.0)))
+        at = at.withColumn("r", F.col("s") + 40 + 10 * F.col("path") * F.log10("d"))
+        g = -(F.col("r") / F.pow("sd", F.lit(2)) * 10 * F.col("path") / (F.col("d") * F.col("d") * float(np.log(10))))
+        sums = at.groupBy("_of").agg(F.sum(-F.col("r") * F.col("r") / (2 * F.col("sd") * F.col("sd"))).alias("got"), F.sum(g * dx).alias("gx"), F.sum(g * dy).alias("gy"))
+        both = to.join(sums, to.bssid.eqNullSafe(sums["_of"])).drop("_of")
+        px, py = F.col("px"), F.col("py")
+        return both.withColumn("got", F.col("got") - (px * px + py * py) / (2 * prior_m**2)).withColumn("gx", F.col("gx") - px / prior_m**2).withColumn("gy", F.col("gy") - py / prior_m**2)
+
+    start = large.select("bssid", "_lat", "_lon", "_n").distinct().withColumn("px", F.lit(0.0)).withColumn("py", F.lit(0.0))
+    state = scored(start).select("bssid", "_lat", "_lon", "_n", F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("got").alias("best"), F.col("gx").alias("hx"), F.col("gy").alias("hy"), F.lit(1.0).alias("rate"))
+    for _ in range(rounds):
+        state = _cut(state)
+        tried = scored(state.withColumn("px", F.col("ax") + F.col("rate") * prior_m * F.col("hx")).withColumn("py", F.col("ay") + F.col("rate") * prior_m * F.col("hy")))
+        better = (F.col("got") > F.col("best")) & ~F.isnan("got")
+        pick = lambda new, old: F.when(better, F.col(new)).otherwise(F.col(old)).alias(old)
+        state = tried.select("bssid", "_lat", "_lon", "_n", pick("px", "ax"), pick("py", "ay"), pick("got", "best"), pick("gx", "hx"), pick("gy", "hy"), F.when(better, F.col("rate")).otherwise(F.col("rate") / 2).alias("rate"))
+    state = _cut(state)
+    return done.unionByName(state.select("bssid", (F.col("_lat") + F.col("ax") / k).alias("latitude"), (F.col("_lon") + F.col("ay") / (k * F.cos(F.radians("_lat")))).alias("longitude"), F.col("_n").alias("n")))
 
 
 def fuse(state: DataFrame, update: DataFrame, reset_sigma: float = 5.0) -> DataFrame:
