@@ -3,14 +3,16 @@
 Text is lower-cased and split into words; equal word sequences are one class from the start. Every
 ``K`` words in a row, labelled with the number of the occurrence, are hashed under each of ``SKETCHES``
 seeds; the ``PICK`` smallest are kept in the order in which they stand in the text, and their hash is a
-bucket. So two texts share a bucket with a probability that follows their edit similarity.
+bucket. So two texts share a bucket with a probability that follows their edit similarity. Pairs near
+``LEAST`` seldom share two k-mers of five words, so there are more buckets: the smallest run of four words
+under each seed, of three in texts of 12 to 30 words; and texts of 5 to 14 words have as buckets what is left
+of them without any one or two words, as many as ``LEAST`` allows to differ, which misses no pair of them.
 
 Each bucket is walked in order of length, over as many tasks as it needs: a member is paired with the
 member before it and with the bucket's leader, the first member that is not too short to be alike. So
 the number of pairs is linear in that of buckets' members. A pair is a link if an alignment of words
 inside a band of ``(1 - LEAST) * longer`` costs no more than that: similarity is 1 - edits / longer.
-Pairs are verified in two rounds, first the pair of most shared buckets of each text, then those whose
-ends the first links left apart. Classes are the components of the links.
+Of these the pair of most shared buckets of each text is verified. Classes are the components of the links.
 
 Then the rest is done exactly: in each bucket that still holds several classes, all pairs of different
 classes are compared, in blocks of members dealt by salt, by counts of words folded into ``FOLDS``, whose
@@ -28,6 +30,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ from .common import bound_batches, cut, texts
 from .components import components
 
 K, PICK, SKETCHES, LEAST = 5, 2, 24, 0.8
+#: Words of texts that are also compared by what is left without some, and by runs of three; alike texts are both in one range, or of at least LEAST * MIDDLE[1] words.
+SHORT, MIDDLE = (4, 14), (12, 30)
 #: Ids of at most so many candidate texts (16 MB) are broadcast to pick out their texts.
 BROADCAST_IDS = 2_000_000
 #: Counters of words that bound the edits of a pair from below, and members of one block of a bucket.
@@ -73,11 +78,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def kmers(h: np.ndarray) -> np.ndarray:
-    """A hash of each run of ``K`` words, of all words if they are fewer."""
-    n = max(1, len(h) - K + 1) if len(h) else 0
+def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
+    """A hash of each run of ``k`` words, of all words if they are fewer."""
+    n = max(1, len(h) - k + 1) if len(h) else 0
     out = np.zeros(n, _U)
-    for j in range(min(K, len(h))):
+    for j in range(min(k, len(h))):
         out = _mix(out + h[j : j + n] + _U(j + 1))
     return out
 
@@ -116,6 +121,37 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def smallest(h: np.ndarray, k: int) -> np.ndarray:
+    """The smallest run of ``k`` words under each seed, as a bucket."""
+    x = labelled(kmers(h, k))
+    y = (x[None, :] ^ SEEDS[:, None]) * _C1
+    y ^= y >> _U(29)
+    y *= _C2
+    return _mix(x[y.argmin(1)] + SEEDS + _U(k)).view(np.int64)
+
+
+def shortened(h: np.ndarray) -> np.ndarray:
+    """A hash of the words, and of what is left without each choice of as many words as may differ."""
+    n, most = len(h), math.floor((1 - LEAST) * len(h) + 1e-9)
+    out = []
+    for gone in range(most + 1):
+        for drop in combinations(range(n), gone):
+            out.append(xxhash.xxh3_64_intdigest(np.delete(h, drop).tobytes()))
+    return np.unique(np.array(out, _U)).view(np.int64)
+
+
+def buckets_of(h: np.ndarray) -> np.ndarray:
+    """All buckets of a text."""
+    found = [sketch(h)]
+    if SHORT[0] <= len(h) <= SHORT[1]:
+        found.append(shortened(h))
+    if MIDDLE[0] <= len(h) <= MIDDLE[1]:
+        found.append(smallest(h, 3))
+    if len(h) >= LEAST * MIDDLE[1]:
+        found.append(smallest(h, 4))
+    return np.unique(np.concatenate(found))
+
+
 def folded(h: np.ndarray) -> bytes:
     """Counts of words folded into ``FOLDS``, up to 255: neither folding nor the limit adds to a difference."""
     return np.minimum(np.bincount((h & _U(FOLDS - 1)).astype(np.int64), minlength=FOLDS), 255).astype(np.uint8).tobytes()
@@ -130,7 +166,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = np.fromiter(map(known.__getitem__, words), _U, len(words))
             keys.append(xxhash.xxh3_128_digest("\n".join(words).encode()))
             sizes.append(len(words))
-            found.append(sketch(h))
+            found.append(buckets_of(h))
             folds.append(folded(h))
         arrays = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(folds, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", "key", "n", "sketch", "folds"])
@@ -307,18 +343,11 @@ def _held(rows: DataFrame, pairs: DataFrame, again: bool) -> DataFrame:
     return held.dropDuplicates(["id"]) if again else held
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different classes."""
-    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    both = pairs.join(la, "a", "left").join(lb, "b", "left")
-    return both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-
 def _rest(members: DataFrame, labels: DataFrame, texts_of: DataFrame, done: DataFrame, most: int | None) -> DataFrame:
     """Pairs (a, b) of different classes of one bucket that may be alike and are not in ``done``: all, or the ``most`` nearest of each member."""
     members = members.join(labels, members.id == labels.node, "left").select("id", "bucket", "n", F.coalesce("label", "id").alias("class"))
     mixed = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("x"), F.max("class").alias("y"))
-    mixed = mixed.where("x < y and size > 2").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("salts"))
+    mixed = mixed.where("x < y").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("salts"))
     dealt = cut(members.join(mixed, "bucket").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")), "omh-mixed")
     dealt = dealt.join(texts_of.select("id", "folds"), "id")
     dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
@@ -350,16 +379,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = cut(walked.where("kind = 0").select("a", "b").unionByName(ends).groupBy("a", "b").count(), "omh-pairs")
 
     again = _repeats(base)
-    held = _held(rows, pairs, again)
     first = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")), "omh-first")
-    links = _links(first, held)
-    labels = components(links)
-    apart = cut(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels), "omh-apart")
-    links = cut(links.unionByName(_links(apart, held)), "omh-links")
+    links = _links(first, _held(rows, first, again))
     labels = components(links)
-
     members = cut(walked.where("kind <> 0").select(F.col("a").alias("id"), "bucket", "n").distinct(), "omh-members")
-    done = pairs.select("a", "b")
+    done = first.select("a", "b")
     for most in (1, NEAR, None):
         rest = _rest(members, labels, texts_of, done, most)
         if not rest.isEmpty():

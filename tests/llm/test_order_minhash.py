@@ -163,7 +163,7 @@ def test_copies_alike_their_original_only(spark, make_docs):
     rng = random.Random(11)
     words = [f"w{i}" for i in range(60)]
     texts = [words] + [edited(rng, words, 0.15) for _ in range(399)]
-    sketches = [set(op.sketch(np.array([op._Hashes()[w] for w in t], np.uint64)).tolist()) for t in texts]
+    sketches = [set(op.buckets_of(np.array([op._Hashes()[w] for w in t], np.uint64)).tolist()) for t in texts]
     got = {r.doc_id: r.class_id for r in op.classes(make_docs([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
     met = [i for i in range(1, 400) if sketches[0] & sketches[i] and op.alike(" ".join(words), " ".join(texts[i]))]
     assert len(met) > 200 and [i for i in met if got[i] != 0] == []
@@ -184,3 +184,24 @@ def test_folded_counts_and_neighbours_never_cut():
 def test_rest_in_many_blocks(spark, make_docs, monkeypatch):
     monkeypatch.setattr(op, "BLOCK", 16)
     test_copies_alike_their_original_only(spark, make_docs)
+
+
+def share_that_meets(n, edits, tries=300):
+    """Share of alike pairs, ``n`` words with ``edits`` substitutions, insertions or deletions, that have a bucket in common."""
+    rng, known, met, alike = random.Random(n), op._Hashes(), 0, 0
+    for _ in range(tries):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(edits):
+            k, kind = rng.randrange(len(b)), rng.randrange(3)
+            b[k : k + (kind != 1)] = [] if kind == 2 else [f"e{rng.randrange(10**6)}"]
+        if op.alike(" ".join(a), " ".join(b)):
+            x, y = (set(op.buckets_of(np.array([known[w] for w in t], np.uint64)).tolist()) for t in (a, b))
+            alike += 1
+            met += bool(x & y)
+    return met / alike
+
+
+def test_pairs_at_the_least_similarity_meet():
+    assert all(share_that_meets(n, n // 5) == 1 for n in range(5, 15))
+    assert all(share_that_meets(n, n // 5) >= 0.97 for n in (15, 16, 20, 25, 30, 31, 50, 200, 500))
