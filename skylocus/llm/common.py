@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +70,40 @@ def release(spark: SparkSession, *done: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... of each given length, end to end."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches cut by bytes of text, with their texts, so that memory holds ``most`` bytes or one document."""
+    for batch in batches:
+        parts, at = texts(batch.column(column)), 0
+        while at < len(parts):
+            end, size = at, 0
+            while end < len(parts) and (size < most or end == at):
+                size += len(parts[end])
+                end += 1
+            yield batch.slice(at, end - at), parts[at:end]
+            at = end
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives its memory back: workers are used again, also by later stages."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the C library, where it has it
+                trim(0)
+
+    return mapped
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, release, texts
+from .common import bound_batches, cut, ranges, release, sliced, texts
 
 WIDTH = 50
 GRAM = 26
@@ -44,12 +44,6 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... of each given length, end to end."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
-
-
 def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Suffix arrays of ``symbols[bounds[k]:bounds[k + 1]]``, end to end, all built side by side.
 
@@ -173,21 +167,8 @@ def anchors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return row, code[anchor[first]].view(np.int64), begin - offsets[row], np.diff(np.r_[first, len(starts)]) + WIDTH - 1
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Batches cut by bytes of text, so that memory holds HASH_BYTES or one document."""
-    for batch in batches:
-        parts, at = texts(batch.column("text")), 0
-        while at < len(parts):
-            end, size = at, 0
-            while end < len(parts) and (size < HASH_BYTES or end == at):
-                size += len(parts[end])
-                end += 1
-            yield batch.slice(at, end - at), parts[at:end]
-            at = end
-
-
 def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, parts in _sliced(batches):
+    for batch, parts in sliced(batches, HASH_BYTES):
         row, code, at, length = anchors(parts)
         for k in range(0, len(row), 1 << 18):
             s = slice(k, k + (1 << 18))
@@ -196,7 +177,7 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, parts in _sliced(batches):
+    for batch, parts in sliced(batches, HASH_BYTES):
         data = np.frombuffer(b"".join(parts), np.uint8)
         lengths = np.array([len(p) for p in parts], np.int64)
         spots = batch.column("spots")

@@ -28,7 +28,7 @@ def test_codec_equals_library(library):
     letters = "abcdefgh 'é.,Σs0 \n<|>tĹ日"
     for text in ODD + ["".join(rng.choices(letters, k=rng.randrange(80))) for _ in range(600)]:
         want = library.encode(text, add_special_tokens=False).ids
-        assert own.encode(text) == want, repr(text)
+        assert own.encode(text).tolist() == want, repr(text)
         assert own.decode(want) == library.decode(want, skip_special_tokens=False), repr(text)
 
 
@@ -54,5 +54,33 @@ def test_cache_bound(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
     own, fresh = bpe.Codec(tokenizer_path()), bpe.Codec(tokenizer_path())
     for text in ["a b c d e f g", "g f e d c b a", "a " * 20, "a b"]:
-        assert own.encode(text) == [i for w in text.split() for i in fresh.encode(w)]
+        assert own.encode(text).tolist() == [i for w in text.split() for i in fresh.encode(w).tolist()]
         assert len(own.young) <= 3
+
+
+def test_batch_equals_single_texts(library):
+    own = bpe.Codec(tokenizer_path())
+    ids, count = own.batch(ODD)
+    assert count.tolist() == [len(own.encode(t)) for t in ODD]
+    assert ids.tolist() == [i for t in ODD for i in own.encode(t).tolist()]
+    assert own.batch([])[0].tolist() == []
+
+
+def test_very_long_texts(spark, make_docs, library):
+    long = "onha tithe " * 200_000
+    rows = [(1, long), (2, "x" * 20_000)]
+    got = {r.doc_id: r for r in bpe.encode(make_docs(rows), tokenizer_path()).collect()}
+    for i, t in rows:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_query_equals_library_on_all_documents(spark, library):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in bpe.encode(spark.read.parquet(f"{sf}/documents.parquet"), tokenizer_path()).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        said = library.decode(ids, skip_special_tokens=False)
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].decoded_sha256) == (len(ids), hashlib.sha256(said.encode()).hexdigest())
+        assert got[r.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
