@@ -52,12 +52,19 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return back
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession, *done: DataFrame) -> None:
-    """Give back the disk of steps that are over: tables that ``cut`` returned and nothing reads any more, and shuffles.
+    """Delete tables that ``cut`` returned and nothing reads any more.
 
     Only folders that ``cut`` made in this process are ever deleted; for any other frame this raises
-    before anything is gone, so an input cannot be lost. Executors keep the files of a shuffle until the driver's JVM finds
-    that no plan refers to it, which may be long after; what ``cut`` wrote since then no longer needs them.
+    before anything is gone, so an input cannot be lost.
     """
     paths = [getattr(df, "_cut_path", None) for df in done]
     if not all(path in _OWN for path in paths):
@@ -66,6 +73,10 @@ def release(spark: SparkSession, *done: DataFrame) -> None:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         _OWN.discard(path)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have executors delete shuffles that no plan refers to: they do once the driver's JVM finds so, which may else be long after."""
     gc.collect()
     spark._jvm.System.gc()
 

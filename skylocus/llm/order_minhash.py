@@ -15,18 +15,22 @@ inside a band of ``(1 - LEAST) * longer`` costs no more than that: similarity is
 Of these the pair of most shared buckets of each text is verified. Classes are the components of the links.
 
 Then the rest is done exactly: in each bucket that still holds several classes, all pairs of different
-classes are compared, in blocks of members dealt by salt, by counts of words folded into ``FOLDS``, whose
-differences are never more than those of the texts. Pairs within the bound are verified: first the nearest
-of each member, whose links join most classes, then its ``NEAR`` nearest, and at last all that are still
-apart. So no pair of a bucket stays unverified unless its ends are in one class already or cannot be alike.
+classes are compared, in groups of like lengths and blocks of members dealt by salt, by counts of words folded into ``FOLDS``, whose
+common part is never less than that of the texts. Pairs within the bound are verified: first the nearest
+of each class, whose links join most classes, then all that are still apart, each pair in the smallest
+bucket that it shares. So no pair of a bucket stays unverified unless its ends are in one class already or
+cannot be alike.
 
 Cases: null text is empty; texts without words are one class; a text of fewer than ``K`` words is one
-k-mer, and one with fewer k-mers than ``PICK`` keeps all. Rows that repeat an id each give a row. Rows
-without id are in no class (null). Other columns are ignored; an empty table gives an empty result.
+k-mer, and one with fewer k-mers than ``PICK`` keeps all; a worker holds ``PART`` bytes of texts or one text,
+however long, and some ten times as much for its hashes. Rows that repeat an id each give a row, in the class of their own text. Rows without id are in no
+class (null), but ``drop_near_duplicates`` treats them like others, as larger than every id. Other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -37,8 +41,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import bound_batches, cut, texts
+from .common import bound_batches, cut, fresh, ranges, release, sliced, texts, tidy
 from .components import components
 
 K, PICK, SKETCHES, LEAST = 5, 2, 24, 0.8
@@ -47,11 +52,19 @@ SHORT, MIDDLE = (4, 14), (12, 30)
 #: Ids of at most so many candidate texts (16 MB) are broadcast to pick out their texts.
 BROADCAST_IDS = 2_000_000
 #: Counters of words that bound the edits of a pair from below, and members of one block of a bucket.
-FOLDS, BLOCK = 256, 1024
-#: Nearest members that the second round on the rest verifies before all.
-NEAR = 8
-#: Words whose hash a worker keeps.
-CACHE = 400_000
+FOLDS, BLOCK = 256, 4096
+#: Counts of one counter that the first comparison of a block tells apart; what is above is bounded as a whole.
+LEVELS = 6
+#: Members of blocks that are compared many at once.
+FEW = 24
+#: Members of a block that are compared with the others at once.
+STRIP = 256
+#: Buckets compared at once.
+WIDE = 2048
+#: Bytes of texts that a worker holds at once, or one text.
+TEXT_BYTES = 4 << 20
+#: Bytes of texts sketched at once, or one text.
+PART = 1 << 20
 
 _U = np.uint64
 _C1, _C2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -62,14 +75,7 @@ def _seeds() -> np.ndarray:
 
 
 SEEDS = _seeds()
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode())
-        return h
+_ODD = (SEEDS >> _U(32)).astype(np.uint32) | np.uint32(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,56 +84,105 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
-    """A hash of each run of ``k`` words, of all words if they are fewer."""
-    n = max(1, len(h) - k + 1) if len(h) else 0
-    out = np.zeros(n, _U)
-    for j in range(min(k, len(h))):
-        out = _mix(out + h[j : j + n] + _U(j + 1))
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, _U)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = np.random.default_rng(10).integers(0, 1 << 63, 256, dtype=np.uint64)
+_FORTH, _BACK = _powers(PART + 1, _BASE), _powers(PART + 1, pow(_BASE, -1, 1 << 64))
+
+
+def hashes(said: bytes) -> np.ndarray:
+    """A hash of each word of text in which each word ends in one blank: sums over its bytes of powers of their place, in parts of ``PART`` bytes."""
+    data = np.frombuffer(said, np.uint8)
+    ends = np.flatnonzero(data == 32)
+    out, start, done = np.empty(len(ends), _U), 0, 0
+    while done < len(ends):
+        last = max(done + 1, int(np.searchsorted(ends, start + PART)))  # words that end in this part, one at least
+        stop = int(ends[last - 1]) + 1
+        n = stop - start
+        forth, back = (_FORTH[:n], _BACK) if n <= PART else (_powers(n, _BASE), _powers(n, pow(_BASE, -1, 1 << 64)))
+        total = np.r_[_U(0), np.cumsum(_BYTES[data[start:stop]] * forth)]
+        upto = ends[done:last] - start
+        first = np.r_[0, upto[:-1] + 1]
+        out[done:last] = _mix((total[upto] - total[first]) * back[first] + (upto - first).astype(_U))
+        start, done = stop, last
     return out
 
 
-def labelled(x: np.ndarray) -> np.ndarray:
-    """The same with the number of the occurrence."""
-    order = np.argsort(x, kind="stable")
-    s = x[order]
-    start = np.concatenate([[True], s[1:] != s[:-1]])
-    if start.all():
+def kmers(h: np.ndarray, count: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each run of ``k`` words of each text, of all its words if they are fewer, and their number; ``count``: words of each text."""
+    begin, many = np.cumsum(count) - count, np.maximum(count - k + 1, 0)
+    run = np.zeros(max(0, len(h) - k + 1), _U)
+    for j in range(k if len(run) else 0):
+        run = _mix(run + h[j : j + len(run)] + _U(j + 1))
+    few = np.flatnonzero((count > 0) & (count < k))
+    number = many.copy()
+    number[few] = 1
+    out, at = np.zeros(number.sum(), _U), np.cumsum(number) - number
+    out[ranges(at, many)] = run[ranges(begin, many)]
+    for i in few:
+        x = _U(0)
+        for j in range(count[i]):
+            x = _mix(x + h[begin[i] + j : begin[i] + j + 1] + _U(j + 1))[0]
+        out[at[i]] = x
+    return out, number
+
+
+def labelled(x: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The same with the number of the occurrence in the text."""
+    key = _mix(x + np.repeat(np.arange(len(number)), number).astype(_U) * _U(0xD1342543DE82EF95))
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    again = np.flatnonzero(s[1:] == s[:-1]) + 1
+    if not len(again):
         return _mix(x)
+    start = np.ones(len(x), bool)
+    start[again] = False
     at = np.arange(len(x))
     nth = np.empty(len(x), _U)
     nth[order] = (at - np.maximum.accumulate(np.where(start, at, 0))).astype(_U)
     return _mix(x + nth * _U(0x9E3779B97F4A7C15))
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """The bucket of each seed."""
-    x = kmers(h)
-    if not len(x):
-        return np.zeros(0, np.int64)
-    y = (labelled(x)[None, :] ^ SEEDS[:, None]) * _C1
-    y ^= y >> _U(29)
-    y *= _C2
-    rows = np.arange(SKETCHES)
-    picked = []
-    for _ in range(min(PICK, len(x))):
-        at = y.argmin(1)
-        picked.append(at)
-        y[rows, at] = _U(0xFFFFFFFFFFFFFFFF)
-    where = np.sort(np.stack(picked), axis=0)
-    out = SEEDS.copy()
-    for at in where:
-        out = _mix(out + x[at])
+def _places(x: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each seed its number, and of each text with k-mers the place of its smallest and of its second smallest, itself if there is none.
+
+    A seed's order is that of the upper halves times an odd number of its own, the first of equals.
+    """
+    top, at = (x >> _U(32)).astype(np.uint32), np.arange(len(x), dtype=_U)
+    starts = (np.cumsum(number) - number)[number > 0]
+    single = number[number > 0] == 1
+    for j in range(SKETCHES):
+        y = ((top * _ODD[j]).astype(_U) << _U(32)) | at
+        first = (np.minimum.reduceat(y, starts) & _U(0xFFFFFFFF)).astype(np.int64)
+        y[first] = _U(0xFFFFFFFFFFFFFFFF)
+        second = (np.minimum.reduceat(y, starts) & _U(0xFFFFFFFF)).astype(np.int64)
+        yield j, first, np.where(single, first, second)
+
+
+def sketches(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The bucket of each text (rows) and seed: its smallest labelled k-mers, in the order of the text. Texts without words have none that counts."""
+    x, number = kmers(h, count)
+    out = np.zeros((len(count), SKETCHES), _U)
+    if len(x):
+        for j, a, b in _places(labelled(x, number), number):
+            early = _mix(SEEDS[j] + x[np.minimum(a, b)])
+            out[number > 0, j] = np.where(a == b, early, _mix(early + x[np.maximum(a, b)]))
     return out.view(np.int64)
 
 
-def smallest(h: np.ndarray, k: int) -> np.ndarray:
-    """The smallest run of ``k`` words under each seed, as a bucket."""
-    x = labelled(kmers(h, k))
-    y = (x[None, :] ^ SEEDS[:, None]) * _C1
-    y ^= y >> _U(29)
-    y *= _C2
-    return _mix(x[y.argmin(1)] + SEEDS + _U(k)).view(np.int64)
+def smallest(h: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
+    """The smallest labelled run of ``k`` words of each text under each seed, as a bucket."""
+    x, number = kmers(h, count, k)
+    x, out = labelled(x, number), np.zeros((len(count), SKETCHES), _U)
+    if len(x):
+        for j, a, _ in _places(x, number):
+            out[number > 0, j] = _mix(x[a] + SEEDS[j] + _U(k))
+    return out.view(np.int64)
 
 
 def shortened(h: np.ndarray) -> np.ndarray:
@@ -140,16 +195,17 @@ def shortened(h: np.ndarray) -> np.ndarray:
     return np.unique(np.array(out, _U)).view(np.int64)
 
 
-def buckets_of(h: np.ndarray) -> np.ndarray:
-    """All buckets of a text."""
-    found = [sketch(h)]
-    if SHORT[0] <= len(h) <= SHORT[1]:
-        found.append(shortened(h))
-    if MIDDLE[0] <= len(h) <= MIDDLE[1]:
-        found.append(smallest(h, 3))
-    if len(h) >= LEAST * MIDDLE[1]:
-        found.append(smallest(h, 4))
-    return np.unique(np.concatenate(found))
+def buckets(h: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """All buckets of each text, ascending."""
+    begin = np.cumsum(count) - count
+    found: list[list[np.ndarray]] = [[row] if n else [] for row, n in zip(sketches(h, count), count)]
+    for k, fits in ((3, (count >= MIDDLE[0]) & (count <= MIDDLE[1])), (4, count >= LEAST * MIDDLE[1])):
+        which = np.flatnonzero(fits)
+        for i, row in zip(which, smallest(h[ranges(begin[which], count[which])], count[which], k)):
+            found[i].append(row)
+    for i in np.flatnonzero((count >= SHORT[0]) & (count <= SHORT[1])):
+        found[i].append(shortened(h[begin[i] : begin[i] + count[i]]))
+    return [np.unique(np.concatenate(f)) if f else np.zeros(0, np.int64) for f in found]
 
 
 def folded(h: np.ndarray) -> bytes:
@@ -157,18 +213,21 @@ def folded(h: np.ndarray) -> bytes:
     return np.minimum(np.bincount((h & _U(FOLDS - 1)).astype(np.int64), minlength=FOLDS), 255).astype(np.uint8).tobytes()
 
 
+def _key(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join([*words, ""]).encode())
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Hashes()
-    for batch in batches:
-        keys, sizes, found, folds = [], [], [], []
-        for raw in texts(batch.column("text")):
-            words = raw.decode("utf-8", "replace").lower().split()
-            h = np.fromiter(map(known.__getitem__, words), _U, len(words))
-            keys.append(xxhash.xxh3_128_digest("\n".join(words).encode()))
-            sizes.append(len(words))
-            found.append(buckets_of(h))
-            folds.append(folded(h))
-        arrays = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(folds, pa.binary())]
+    for batch, parts in sliced(batches, PART):
+        words = [raw.decode("utf-8", "replace").lower().split() for raw in parts]
+        said = [" ".join([*w, ""]).encode() for w in words]
+        count = np.array([len(w) for w in words], np.int64)
+        keys = [xxhash.xxh3_128_digest(x) for x in said]
+        del words
+        h = hashes(b"".join(said))
+        ends = np.cumsum(count)
+        folds = [folded(h[b - n : b]) for b, n in zip(ends, count)]
+        arrays = [pa.array(keys, pa.binary()), pa.array(count, pa.int32()), pa.array(buckets(h, count), pa.list_(pa.int64())), pa.array(folds, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", "key", "n", "sketch", "folds"])
 
 
@@ -217,34 +276,111 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([(x[2], None, x[0], x[1], 1) for x in (first, last)])
 
 
-def _meet(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes that may be alike, from rows in order of bucket and block (low, high): all, or the ``most`` nearest of each member."""
-
-    def block(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, n, of, salt = (t.column(c).to_numpy() for c in ("id", "n", "class", "salt"))
-        if of.min() == of.max():
-            return
-        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-        folds = np.frombuffer(b"".join(t.column("folds").to_pylist()), np.uint8).reshape(-1, FOLDS)
-        right = np.flatnonzero(salt == high)
-        for i in np.flatnonzero(salt == low):
-            at = right[right > i] if low == high else right
-            longer = np.maximum(n[at], n[i])
-            fit = (of[at] != of[i]) & (np.minimum(n[at], n[i]) >= LEAST * longer)
-            at, longer = at[fit], longer[fit]
-            if not len(at):
-                continue
-            more = folds[at].astype(np.int16) - folds[i]
-            up = np.maximum(more, 0).sum(1)
-            bound = np.maximum(up, up - more.sum(1))
-            fit = (bound <= np.floor((1 - LEAST) * longer + 1e-9)) & (ids[at] != ids[i])
-            at = at[fit]
-            if most is not None and len(at) > most:
-                at = at[np.lexsort((ids[at], bound[fit]))[:most]]
-            yield np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])
-
-    def out(found: list) -> pa.RecordBatch:
-        a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+def _common(folds: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row per text whose product with another's, plus the lesser of their rests, is no less than the words in common."""
+    steps = folds[:, None, :] >= np.arange(1, LEVELS + 1, dtype=np.uint8)[None, :, None]
+    return steps.reshape(len(folds), -1).astype(np.float32), (n - np.minimum(folds, LEVELS).sum(1, dtype=np.int64)).astype(np.float32)
+
+
+def _earlier(sketches: list[np.ndarray], bucket: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether members ``left`` and ``right`` share a bucket smaller than this one (rows and columns)."""
+    mine = [s[: np.searchsorted(s, bucket)] for s in sketches]
+    owner, flat = np.repeat(np.arange(len(mine)), [len(s) for s in mine]), np.concatenate(mine)
+    names, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times > 1)
+    column = np.full(len(names), -1)
+    column[several] = np.arange(len(several))
+    owner, which = owner[column[which] >= 0], column[which][column[which] >= 0]
+    out = np.zeros((len(left), len(right)), bool)
+    for k in range(0, len(several), WIDE):
+        has = np.zeros((len(mine), WIDE), np.float32)
+        now = (which >= k) & (which < k + WIDE)
+        has[owner[now], which[now] - k] = 1
+        out |= has[left] @ has[right].T > 0
+    return out
+
+
+def _block(t: pa.Table, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different classes of one block (members of salts low and high of a bucket's bands) that may be alike; or the nearest of each class."""
+    ids, n, of, salt, own = (t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "class", "salt", "own"))
+    none = np.zeros(0, np.int64)
+    if of.min() == of.max():
+        return none, none
+    low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+    all_left, right = np.flatnonzero(salt == low), np.flatnonzero(salt == high)
+    if not len(all_left) or not len(right):
+        return none, none
+    folds = np.frombuffer(b"".join(t.column("folds").to_pylist()), np.uint8).reshape(-1, FOLDS)
+    steps, rest = _common(folds, n)
+    sketch = None if nearest else [np.sort(np.array(s, np.int64)) for s in t.column("sketch").to_pylist()]
+    bucket, found = t.column("bucket")[0].as_py(), []
+    for k in range(0, len(all_left), STRIP):
+        left = all_left[k : k + STRIP]
+        longer, shorter = (f(n[left][:, None], n[right][None, :]) for f in (np.maximum, np.minimum))
+        most = np.floor((1 - LEAST) * longer + 1e-9)
+        fit = (of[left][:, None] != of[right][None, :]) & (ids[left][:, None] != ids[right][None, :]) & (longer - shorter <= most)
+        fit &= own[left][:, None] | own[right][None, :]  # two of the band above meet there
+        fit &= longer - steps[left] @ steps[right].T - np.minimum(rest[left][:, None], rest[right][None, :]) <= most
+        if low == high:
+            fit &= left[:, None] < right[None, :]
+        if sketch and fit.any():
+            fit &= ~_earlier(sketch, bucket, left, right)
+        x, y = np.nonzero(fit)
+        for i in range(0, len(x), 1 << 12):
+            a, b, limit = left[x[i : i + (1 << 12)]], right[y[i : i + (1 << 12)]], most[x[i : i + (1 << 12)], y[i : i + (1 << 12)]]
+            lost = np.minimum(n[a] - folds[a].sum(1, dtype=np.int64), n[b] - folds[b].sum(1, dtype=np.int64))  # counts above 255
+            bound = np.maximum(n[a], n[b]) - np.minimum(folds[a], folds[b]).sum(1, dtype=np.int64) - lost
+            good = bound <= limit
+            found.append((a[good], b[good], bound[good]))
+    if not found:
+        return none, none
+    a, b, bound = (np.concatenate([f[k] for f in found]) for k in range(3))
+    if nearest:
+        side, pair = np.concatenate([of[a], of[b]]), np.tile(np.arange(len(a)), 2)
+        by = np.lexsort((ids[b][pair], ids[a][pair], bound[pair], side))
+        keep = np.unique(pair[by[np.flatnonzero(np.r_[True, np.diff(side[by]) != 0])]]) if len(by) else pair
+        a, b = a[keep], b[keep]
+    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+
+
+def _small(t: pa.Table, starts: np.ndarray, sizes: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_block`` finds, for many blocks of few members at once: all their pairs are laid side by side."""
+    ids, n, of, salt, own, bucket, low, high = (t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "class", "salt", "own", "bucket", "low", "high"))
+    member = ranges(starts, sizes)
+    after = np.repeat(starts + sizes, sizes) - member - 1  # members of its block behind each
+    group = np.repeat(np.repeat(np.arange(len(starts)), sizes), after)
+    a, b = np.repeat(member, after), ranges(member + 1, after)
+    longer, shorter = np.maximum(n[a], n[b]), np.minimum(n[a], n[b])
+    most = np.floor((1 - LEAST) * longer + 1e-9)
+    fit = (of[a] != of[b]) & (ids[a] != ids[b]) & (longer - shorter <= most) & (own[a] | own[b])
+    fit &= (low[a] == high[a]) | (salt[a] != salt[b])  # two of one salt meet in their own block
+    a, b, group, longer, most = a[fit], b[fit], group[fit], longer[fit], most[fit]
+    folds = np.frombuffer(b"".join(t.column("folds").to_pylist()), np.uint8).reshape(-1, FOLDS)
+    whole = folds.sum(1, dtype=np.int64)
+    both = np.concatenate([np.zeros(0, np.int64), *(np.minimum(folds[a[k : k + 4096]], folds[b[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(a), 4096))])
+    bound = longer - both - np.minimum(n[a] - whole[a], n[b] - whole[b])
+    fit = bound <= most
+    a, b, group, bound = a[fit], b[fit], group[fit], bound[fit]
+    if nearest:
+        side, pair = np.concatenate([of[a], of[b]]), np.tile(np.arange(len(a)), 2)
+        by = np.lexsort((ids[b][pair], ids[a][pair], bound[pair], side, group[pair]))
+        keep = by[np.flatnonzero(np.r_[True, (np.diff(side[by]) != 0) | (np.diff(group[pair][by]) != 0)])] if len(by) else by
+        keep = np.unique(pair[keep])
+    else:
+        held = t.column("sketch").take(pa.array(np.r_[a, b])).to_pylist()
+        keep = np.array([k for k in range(len(a)) if min(set(held[k]) & set(held[k + len(a)])) == bucket[a[k]]], np.int64)
+    a, b = ids[a[keep]], ids[b[keep]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of different classes that may be alike, from rows in order of bucket, band and block (low, high): the nearest of each class, or all."""
+
+    def found(t: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        few = sizes <= FEW
+        pairs = [_small(t, starts[few], sizes[few], nearest)] if few.any() else []
+        pairs += [_block(t.slice(x, size), nearest) for x, size in zip(starts[~few].tolist(), sizes[~few].tolist())]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in pairs)]) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rest = None
@@ -253,152 +389,193 @@ def _meet(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.Re
         t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
         if not len(t):
             continue
-        key = np.stack([t.column(c).to_numpy() for c in ("bucket", "low", "high")])
-        starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
-        for x, y in zip(starts, starts[1:]):
-            if found := list(block(t.slice(x, y - x))):
-                yield out(found)
+        key = np.stack([t.column(c).to_numpy() for c in ("bucket", "band", "low", "high")])
+        starts = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1]
+        yield found(t.slice(0, starts[-1]), starts[:-1], np.diff(starts))
         rest = t.slice(starts[-1])
     if rest is not None:
-        yield out(list(block(rest)))
+        yield found(rest, np.array([0]), np.array([len(rest)]))
+
 
+def edits(a: list, b: list, most: int) -> int | None:
+    """Least number of word edits between ``a`` and ``b`` if at most ``most``.
 
-def edits(a: list[int], b: list[int], most: int) -> int | None:
-    """Least number of word edits between ``a`` and ``b`` if at most ``most``: furthest-reaching points inside the band."""
+    The table of the alignment is filled column by column inside the band of ``most`` on either side of
+    its diagonal; a column's differences, up and down, are the bits of two numbers, of which the lowest
+    stands for the band's upper edge.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
+        return None
+    start, n, m = 0, len(a), len(b)
+    while start < m and a[start] == b[start]:
+        start += 1
+    while m > start and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b = a[start:n], b[start:m]
     n, m = len(a), len(b)
-    if abs(n - m) > most:
+    if not m:
+        return n
+    most = min(most, n)  # as many edits change all
+    if not most:
         return None
-    raw_a, raw_b = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()
-
-    def slide(i: int, j: int) -> int:
-        if i >= n or j >= m or a[i] != b[j]:
-            return i
-        while raw_a[4 * i : 4 * i + 128] == raw_b[4 * j : 4 * j + 128] and i + 32 <= n and j + 32 <= m:
-            i += 32
-            j += 32
-        while i < n and j < m and a[i] == b[j]:
-            i += 1
-            j += 1
-        return i
-
-    start = slide(0, 0)
-    if n == m == start:
-        return 0
-    goal = m - n
-    far = {0: start}
-    if goal == 0 and start == n:
-        return 0
-    for e in range(1, most + 1):
-        room = most - e
-        low, high = max(-e, goal - room, -n), min(e, goal + room, m)
-        now = {}
-        get = far.get
-        for d in range(low, high + 1):  # d = j - i
-            i = max(get(d, -2) + 1, get(d - 1, -2), get(d + 1, -2) + 1)
-            if i < 0:
-                continue
-            i = min(i, n, m - d)
-            if i + d < 0:
-                continue
-            now[d] = i = slide(i, i + d)
-        if now.get(goal, -1) >= n:
-            return e
-        far = now
-    return None
-
-
-def alike(a: str, b: str, least: float = LEAST) -> bool:
+    places: dict = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    width = 2 * most + 2
+    mask, bottom = (1 << width) - 1, 1 << (width - 1)
+    up, down = ((1 << (most + 1)) - 1) << (width - most - 1), 0
+    cost, shift, line = most, most + 1 - width, bottom >> 1
+    give_up = 2 * most + m - n
+    for j, w in enumerate(b):
+        match = places.get(w, 0)
+        match = (match << -shift if shift < 0 else match >> shift) & mask
+        shift += 1
+        diagonal = ((((match & up) + up) ^ up) | match | down) & mask
+        right_up, right_down = down | mask & ~(diagonal | up), diagonal & up
+        if j < n - most:  # down the band's lower edge
+            cost += not diagonal & bottom
+        else:  # along the last row
+            cost += bool(right_up & line) - bool(right_down & line)
+            line >>= 1
+        if cost > give_up:
+            return None
+        diagonal >>= 1
+        up, down = right_down | mask & ~(diagonal | right_up), diagonal & right_up
+    return cost if cost <= most else None
+
+
+def alike(x: list[str], y: list[str], least: float = LEAST) -> bool:
     """Whether the alignment of the words reaches the similarity."""
-    x, y = a.lower().split(), b.lower().split()
     most = math.floor((1 - least) * max(len(x), len(y)) + 1e-9)
     if abs(len(x) - len(y)) > most:
         return False
-    cx, cy = Counter(x), Counter(y)
-    if max((cx - cy).total(), (cy - cx).total()) > most:
-        return False
-    # an edit takes away two pairs of neighbours at most
-    px, py = Counter(zip(x, x[1:])), Counter(zip(y, y[1:]))
-    if max((px - py).total(), (py - px).total()) > 2 * most:
-        return False
-    number: dict[str, int] = {}
-    return edits([number.setdefault(w, len(number)) for w in x], [number.setdefault(w, len(number)) for w in y], most) is not None
+    both = (Counter(x) & Counter(y)).total()
+    return max(len(x), len(y)) - both <= most and edits(x, y, most) is not None
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
-        yield batch.select(["a", "b"]).filter(pa.array([alike(x or "", y or "") for x, y in rows], pa.bool_()))
-
-
-def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    a, b = held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), held.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return cut(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "omh-links")
-
-
-def _held(rows: DataFrame, pairs: DataFrame, again: bool) -> DataFrame:
-    """The texts of the pairs; one row for each id, if rows repeat."""
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "omh-ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    held = cut(rows.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "omh-held")
-    return held.dropDuplicates(["id"]) if again else held
+    for batch, parts in sliced(batches, TEXT_BYTES, "text_a"):
+        rows = zip(parts, texts(batch.column("text_b")))
+        good = [alike(*(raw.decode("utf-8", "replace").lower().split() for raw in pair)) for pair in rows]
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, parts in sliced(batches, TEXT_BYTES):
+        yield pa.RecordBatch.from_arrays([pa.array([_key(raw.decode("utf-8", "replace").lower().split()) for raw in parts], pa.binary()), batch.column("text")], names=["key", "text"])
+
+
+class _Texts:
+    """The distinct texts (node, key, n, sketch, folds) and where their words are found: by id, or by key if ids repeat."""
+
+    def __init__(self, rows: DataFrame, base: DataFrame) -> None:
+        self.rows = rows
+        found = base.groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("folds").alias("folds"))
+        self.again = not base.groupBy("id").count().where("count > 1 or id is null").isEmpty()
+        if self.again:  # unlike texts of one id, and texts without id, are nodes of their own
+            first = F.row_number().over(Window.partitionBy("id").orderBy("key")) == 1
+            found = found.withColumn("node", F.when(first & F.col("id").isNotNull(), F.col("id")).otherwise(F.xxhash64("key", "id")))
+        else:
+            found = found.withColumn("node", F.col("id"))
+        self.table = cut(found, "omh-texts")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose alignment reaches the similarity."""
+        spark = pairs.sparkSession
+        ids = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "omh-ids")
+        ids_ = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+        if self.again:
+            keys = self.table.join(ids_, "node").select("key", "node")
+            held = self.rows.mapInArrow(tidy(_keyed), "key binary, text string").join(keys, "key").groupBy("node").agg(F.first("text").alias("text"))
+        else:
+            held = self.rows.withColumnRenamed("id", "node").join(ids_, "node", "left_semi")
+        held = cut(held, "omh-held")
+        a, b = held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+        bound_batches(spark, 64)
+        out = cut(both.mapInArrow(tidy(_verify), "a long, b long"), "omh-links")
+        release(spark, ids, held)
+        return out
+
+
+def _rest(members: DataFrame, labels: DataFrame, known: DataFrame, done: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different classes of one bucket that may be alike and are not in ``done``: the nearest of each class, or all.
+
+    Alike texts are of one band of lengths or of two in a row: a member is in the group of its own band and of that below.
+    """
+    spark = members.sparkSession
+    labelled = members.join(labels, members.id == labels.node, "left").select("id", "bucket", "n", F.coalesce("label", "id").alias("class"))
+    mixed = labelled.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("bucket")
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(1 / LEAST)).cast("int")
+    grouped = labelled.join(mixed, "bucket").withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
+    grouped = cut(grouped.withColumn("band", F.when(F.col("own"), band).otherwise(band - 1)), "omh-mixed")
+    sizes = grouped.groupBy("bucket", "band").agg(F.count("*").alias("size"), F.min("class").alias("x"), F.max("class").alias("y"), F.max("own").alias("any"))
+    sizes = sizes.where("x < y and any").select("bucket", "band", F.ceil(F.col("size") / BLOCK).cast("int").alias("salts"))
+    dealt = grouped.join(sizes, ["bucket", "band"]).withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
+    more = ["folds"] if nearest else ["folds", "sketch"]
+    wide = dealt.join(known.select(F.col("node").alias("id"), *more), "id")
+    wide = wide.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    wide = wide.select("bucket", "band", F.least("salt", "to").alias("low"), F.greatest("salt", "to").alias("high"), "salt", "id", "n", "class", "own", *more)
+    bound_batches(spark, 4096)
+    keys = ["bucket", "band", "low", "high"]
+    met = cut(wide.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(lambda batches: _meet(batches, nearest)), "a long, b long"), "omh-met")
+    out = cut(met.distinct().join(done, ["a", "b"], "left_anti"), "omh-rest")
+    release(spark, grouped, met)
+    return out
 
 
-def _rest(members: DataFrame, labels: DataFrame, texts_of: DataFrame, done: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (a, b) of different classes of one bucket that may be alike and are not in ``done``: all, or the ``most`` nearest of each member."""
-    members = members.join(labels, members.id == labels.node, "left").select("id", "bucket", "n", F.coalesce("label", "id").alias("class"))
-    mixed = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("x"), F.max("class").alias("y"))
-    mixed = mixed.where("x < y").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("salts"))
-    dealt = cut(members.join(mixed, "bucket").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")), "omh-mixed")
-    dealt = dealt.join(texts_of.select("id", "folds"), "id")
-    dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    dealt = dealt.select("bucket", F.least("salt", "to").alias("low"), F.greatest("salt", "to").alias("high"), "salt", "id", "n", "class", "folds")
-    bound_batches(members.sparkSession, 8192)
-    met = cut(dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(lambda batches: _meet(batches, most), "a long, b long"), "omh-met")
-    bound_batches(members.sparkSession, 64)
-    return cut(met.distinct().join(done, ["a", "b"], "left_anti"), "omh-rest")
+class _Classes:
+    """key (of the words) and the class of each distinct text, and base: id and key of each row."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
+        self.spark = spark = docs.sparkSession
+        bound_batches(spark)
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        self.base = cut(rows.mapInArrow(tidy(_sketched), "id long, key binary, n int, sketch array<long>, folds binary"), "omh-sketches")
+        self.texts = _Texts(rows, self.base)
+        known = self.texts.table
+        buckets = known.select(F.explode("sketch").alias("bucket"), "n", F.col("node").alias("id"))
+        dealt = buckets.repartitionByRange("bucket", "n", "id").sortWithinPartitions("bucket", "n", "id")
+        bound_batches(spark, 8192)
+        walked = cut(dealt.mapInArrow(tidy(_walk), "a long, b long, bucket long, n int, kind byte"), "omh-walk")
+        # a bucket that goes on in the next partition: at most two rows of each partition
+        ends = walked.where("kind = 1").select(F.col("a").alias("id"), "bucket", "n").distinct()
+        order = Window.partitionBy("bucket").orderBy("n", "id")
+        ends = ends.select(F.lag("id").over(order).alias("was"), F.lag("n").over(order).alias("was_n"), "id", "n").where(F.col("was_n") >= LEAST * F.col("n"))
+        ends = ends.select(F.least("was", "id").alias("a"), F.greatest("was", "id").alias("b"))
+        pairs = walked.where("kind = 0").select("a", "b").unionByName(ends).groupBy("a", "b").count()
+        first = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")), "omh-first")
+        links = [self.texts.links(first)]
+        labels = components(links[0])
+        members = cut(walked.where("kind <> 0").select(F.col("a").alias("id"), "bucket", "n").distinct(), "omh-members")
+        release(spark, walked)
+        done = first.select("a", "b")
+        for nearest in (True, False):
+            rest = _rest(members, labels, known, done, nearest)
+            if not rest.isEmpty():
+                links.append(self.texts.links(rest))
+                labels = components(functools.reduce(DataFrame.unionByName, links))
+                done = done.unionByName(rest)
+        release(spark, members, *links)
+
+        # the class goes by its smallest id, and of texts of that id by the smallest key
+        of = known.select("key", "node", "id").join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "id", F.coalesce("label", "node").alias("class"))
+        if self.texts.again:
+            best = of.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
+            of = of.join(best, "class").select("key", F.col("best.id").alias("class_id"), (F.col("key") == F.col("best.key")).alias("first"))
+        else:
+            of = of.select("key", F.col("class").alias("class_id"), (F.col("id") == F.col("class")).alias("first"))
+        self.table = cut(of, "omh-classes")
+        release(spark, known)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col`` and class_id, the smallest id of its class."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = cut(rows.where("id is not null").mapInArrow(_sketched, "id long, key binary, n int, sketch array<long>, folds binary"), "omh-sketches")
-    texts_of = cut(base.groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("folds").alias("folds")), "omh-texts")
-
-    buckets = texts_of.select(F.explode("sketch").alias("bucket"), "n", "id")
-    dealt = buckets.repartitionByRange("bucket", "n", "id").sortWithinPartitions("bucket", "n", "id")
-    bound_batches(spark, 8192)
-    walked = cut(dealt.mapInArrow(_walk, "a long, b long, bucket long, n int, kind byte"), "omh-walk")
-    bound_batches(spark, 64)
-    # a bucket that goes on in the next partition: at most two rows of each partition
-    ends = walked.where("kind = 1").select(F.col("a").alias("id"), "bucket", "n").distinct()
-    order = Window.partitionBy("bucket").orderBy("n", "id")
-    ends = ends.select(F.lag("id").over(order).alias("was"), F.lag("n").over(order).alias("was_n"), "id", "n").where(F.col("was_n") >= LEAST * F.col("n"))
-    ends = ends.select(F.least("was", "id").alias("a"), F.greatest("was", "id").alias("b"))
-    pairs = cut(walked.where("kind = 0").select("a", "b").unionByName(ends).groupBy("a", "b").count(), "omh-pairs")
-
-    again = _repeats(base)
-    first = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")), "omh-first")
-    links = _links(first, _held(rows, first, again))
-    labels = components(links)
-    members = cut(walked.where("kind <> 0").select(F.col("a").alias("id"), "bucket", "n").distinct(), "omh-members")
-    done = first.select("a", "b")
-    for most in (1, NEAR, None):
-        rest = _rest(members, labels, texts_of, done, most)
-        if not rest.isEmpty():
-            links = cut(links.unionByName(_links(rest, _held(rows, rest, again))), "omh-links")
-            labels = components(links)
-            done = done.unionByName(rest)
-
-    of = texts_of.select("key", "id").join(labels, texts_of.id == labels.node, "left").select("key", F.coalesce("label", "id").alias("class_id"))
-    known = base.select("id", "key").join(cut(of, "omh-classes"), "key").select("id", "class_id")
-    none = rows.where("id is null").select("id", F.lit(None).cast("long").alias("class_id"))
-    return known.unionByName(none).withColumnRenamed("id", id_col)
-
-
-def _repeats(base: DataFrame) -> bool:
-    return not base.groupBy("id").count().where("count > 1").isEmpty()
+    found = _Classes(docs, id_col, text_col)
+    class_id = F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id")
+    return found.base.select("id", "key").join(found.table, "key").select("id", class_id).withColumnRenamed("id", id_col)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -408,6 +585,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class; all columns stay as they are."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(id_col).distinct()
-    return docs.join(cut(gone, "omh-dropped"), id_col, "left_anti")
+    """``docs`` with one row of each class, one of its smallest id; all columns stay as they are.
+
+    Decided by id where ids tell rows apart, else by id and words, so ids may repeat, with equal or unlike
+    texts, or be null (larger than every id).
+    """
+    found = _Classes(docs, id_col, text_col)
+    rows = found.base.select("id", "key").join(found.table, "key")
+    if not found.texts.again:
+        gone = cut(rows.where("not first").select(F.col("id").alias(id_col)), "omh-dropped")
+        release(docs.sparkSession, found.base, found.table)
+        return docs.join(gone, id_col, "left_anti")
+    key, of, least = (fresh(docs, f"class_{x}") for x in ("key", "of", "least"))
+    stays = found.table.where("first").select(F.col("key").alias(of), F.col("class_id").alias(least))
+    schema = StructType([*docs.schema.fields, StructField(key, BinaryType())])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, parts in sliced(batches, TEXT_BYTES, text_col):
+            yield batch.append_column(key, pa.array([_key(x.decode("utf-8", "replace").lower().split()) for x in parts], pa.binary()))
+
+    held = docs.mapInArrow(tidy(keyed), schema).join(stays, F.col(key) == F.col(of))
+    return held.where(F.col(id_col).cast("long").eqNullSafe(F.col(least))).dropDuplicates([key]).drop(key, of, least)

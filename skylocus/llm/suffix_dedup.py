@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, ranges, release, sliced, texts
+from .common import bound_batches, cut, forget_shuffles, ranges, release, sliced, texts
 
 WIDTH = 50
 GRAM = 26
@@ -293,11 +293,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
 
     spots = cut(alone.mapInArrow(_spots, "code long, id long, mark long, at int, size int"), "suffix-spots")
     shared = cut(spots.groupBy("code").agg(F.min("id").alias("m"), F.max("id").alias("n")).where("m <> n").select("code"), "suffix-shared")
-    release(spark)
+    forget_shuffles(spark)
     wanted = cut(spots.join(shared, "code").groupBy("id", "mark").agg(F.collect_set(F.struct("at", "size", "code")).alias("spots")), "suffix-wanted")
     release(spark, spots, shared)
+    forget_shuffles(spark)
     pieces = cut(alone.join(wanted, ["id", "mark"]).select("id", "mark", "text", "spots").mapInArrow(_stretches, "code long, piece binary, id long, mark long, at int"), "suffix-pieces")
     release(spark, alone, wanted)
+    forget_shuffles(spark)
 
     distinct = cut(pieces.groupBy("code", "piece").agg(F.min("id").alias("low"), F.max("id").alias("high")), "suffix-distinct")
     big = cut(distinct.groupBy("code").count().where(F.col("count") > group_texts).select("code"), "suffix-big")
@@ -310,11 +312,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     name = [F.xxhash64("piece").alias("h"), F.xxhash64(F.lit(WIDTH), "piece").alias("g")]
     verdict = cut(verdict.where(F.size("runs") > 0).select(*name, "runs"), "suffix-runs")
     release(spark, distinct)
+    forget_shuffles(spark)
     places = pieces.join(big, "code", "left_anti").select(*name, "id", "mark", "at")
     single = pieces.join(big, "code").select("piece", "id", "mark", "at", starts).select(string, "id", "mark", (F.col("at") + F.col("k")).alias("at"))
     runs = places.union(single.select(*name, "id", "mark", "at")).join(verdict, ["h", "g"]).select("id", "mark", "at", F.explode("runs").alias("r")).where("r.low < id")
     spans = runs.select("id", "mark", (F.col("at") + F.col("r.first")).alias("a"), (F.col("at") + F.col("r.last") + WIDTH).alias("b")).union(copies)
     spans = cut(spans.groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-spans")
     release(spark, pieces, verdict, big, copies)
+    forget_shuffles(spark)
     out = rows.join(spans, ["id", "mark"], "left").select("doc", "text", "spans").mapInArrow(_cut_out, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start int, end int>>")
     return out.withColumnRenamed("doc", id_col)
