@@ -9,7 +9,7 @@ by a hash of id and copy number.
 
 Cases: a null source is a source of its own; a null text has size 0; a source whose texts are all
 empty, or that has no target weight, has rate 0. Repeated rows of one id get the same count, each for
-itself. An id that is null hashes as the empty string. An empty table gives an empty result.
+itself. Only the size of a text counts, however long. An id that is null hashes as the empty string. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 #: Largest mean that is inverted at once.
 STEP = 16.0
@@ -29,6 +29,8 @@ TERMS = 80
 BROADCAST_SOURCES = 2000
 #: Parts into which each source is dealt in the salted join.
 SALTS = 256
+#: Copies of one document that one task makes at least before they are dealt out by runs of as many.
+BURST = 1024
 #: Hex digits of the hash that make a uniform number, 4 bits each.
 DIGITS = 13
 
@@ -67,19 +69,35 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None, source_col: str,
 
 
 def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``docs`` with columns mix_rate, mix_copies, mix_copy (from 0) and mix_key, a row per copy, in shuffled order."""
-    found = cut(rates(docs, weights, source_col, text_col).withColumnRenamed("source", "mix_source"), "mix-rates")
+    """``docs`` with columns mix_rate, mix_copies, mix_copy (from 0) and mix_key, a row per copy, in shuffled order.
+
+    Columns of these names that ``docs`` has are replaced; all others stay, whatever their names.
+    """
+    docs = docs.drop(*({"mix_rate", "mix_copies", "mix_copy", "mix_key"} - {id_col, source_col, text_col}))
+    source, parts, cdf, salt, piece = (fresh(docs, f"mix_{x}") for x in ("source", "parts", "cdf", "salt", "piece"))
+    found = cut(rates(docs, weights, source_col, text_col), "mix-rates").toDF(source, "mix_rate", parts, cdf)
     own = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     if found.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(found), F.col(source_col).eqNullSafe(F.col("mix_source")), "inner")
+        joined = docs.join(F.broadcast(found), F.col(source_col).eqNullSafe(F.col(source)), "inner")
     else:
-        salted = found.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("mix_own", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int"))
-        joined = joined.join(salted, F.col(source_col).eqNullSafe(F.col("mix_source")) & (F.col("mix_own") == F.col("mix_salt")), "inner").drop("mix_own", "mix_salt")
-    draw = lambda j: F.size(F.filter("cdf", lambda c: c <= uniform(seed, own, j.cast("string"))))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, j: n + draw(j))
-    counted = joined.withColumn("mix_copies", count).where("mix_copies > 0").drop("mix_source", "parts", "cdf").withColumnRenamed("rate", "mix_rate")
-    copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
+        salted = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        mine = fresh(docs, "mix_mine")
+        joined = docs.withColumn(mine, F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int"))
+        joined = joined.join(salted, F.col(source_col).eqNullSafe(F.col(source)) & (F.col(mine) == F.col(salt)), "inner").drop(mine, salt)
+    draws = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: uniform(seed, own, j.cast("string")))
+    count = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(cdf, lambda c: c <= u)))
+    counted = joined.withColumn("mix_copies", count).where("mix_copies > 0").drop(source, parts, cdf)
+
+    def exploded(some: DataFrame, first: Column, copies: Column) -> DataFrame:
+        return some.withColumn("mix_copy", F.explode(F.sequence(first, first + copies - 1)))
+
+    if found.where(F.col("mix_rate") > BURST).isEmpty():
+        copies = exploded(counted, F.lit(0), F.col("mix_copies"))
+    else:  # a document of very many copies is dealt out by runs of them, before they are made
+        few = exploded(counted.where(F.col("mix_rate") <= BURST), F.lit(0), F.col("mix_copies"))
+        many = counted.where(F.col("mix_rate") > BURST).withColumn(piece, F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1, F.lit(BURST))))
+        many = exploded(many.repartition(piece, F.xxhash64(own)), F.col(piece), F.least(F.lit(BURST), F.col("mix_copies") - F.col(piece)))
+        copies = few.unionByName(many.drop(piece))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), own, F.col("mix_copy").cast("string"))))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
 

@@ -25,8 +25,13 @@ def inverse(rate, doc, seed):
 
 def test_counts_are_the_inverse(spark, make_docs):
     rows = [(i, "x" * (5 + i % 7), "big") for i in range(300)] + [(1000 + i, "yy", "small") for i in range(4)] + [(2000, None, "void"), (3000, "n", None)]
-    docs = make_docs(rows).withColumn("rate", F.lit("clash")).withColumn("parts", F.lit(0))
-    got = mixing.replicate(docs.drop("rate", "parts"), seed="t").collect()
+    docs = make_docs(rows)
+    for name in ("rate", "parts", "cdf", "mix_source", "MIX_parts", "mix_cdf", "mix_copy", "id", "piece"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    got = mixing.replicate(docs, seed="t")
+    assert got.columns == [*docs.drop("mix_copy").columns, "mix_rate", "mix_copies", "mix_copy", "mix_key"]
+    got = got.collect()
+    assert all(r.parts == r.cdf == r.mix_source == r.MIX_parts == "clash" for r in got)
     sizes = Counter()
     for _, t, s in rows:
         sizes[s] += len(t or "")
@@ -53,6 +58,15 @@ def test_salted_join_gives_the_same(spark, make_docs, monkeypatch):
     assert key(mixing.replicate(docs)) == want
 
 
+def test_tiny_source_of_many_copies(spark, make_docs, monkeypatch):
+    docs = make_docs([(i, "abcd" * 50, "large") for i in range(300)] + [(1000 + i, "a", "tiny") for i in range(2)] + [(2000, "word " * 50_000, "long")])
+    key = lambda df: sorted((r.doc_id, r.mix_copy, r.mix_copies) for r in df.select("doc_id", "mix_copy", "mix_copies").collect())
+    monkeypatch.setattr(mixing, "BURST", 10**9)
+    want = key(mixing.replicate(docs))
+    monkeypatch.setattr(mixing, "BURST", 64)
+    assert key(mixing.replicate(docs)) == want and Counter(x[0] for x in want)[1000] > 10_000
+
+
 def test_empty_and_repeated(spark, make_docs):
     assert mixing.replicate(make_docs([])).count() == 0
     got = mixing.replicate(make_docs([(1, "abc"), (1, "abc"), (2, "abc")])).collect()
