@@ -11,12 +11,12 @@ words that repeat the word before and the share of words that are distinct.
 Cases: a null text is the empty text, which has the bias feature alone. Ratings that are null, or of
 ids that have no document, are left out; of several ratings of one id the lowest counts. With fewer
 than two grades rated, every document gets the one grade there is, or the highest if there is none.
-Repeated rows each give a row; other columns are ignored.
+Repeated rows each give a row; other columns are ignored; an empty table gives an empty result. Very long
+texts are read whole, words of more than ``LONG`` characters as several.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,15 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, texts
+from .common import bound_batches, cut, texts, tidy
 
 BUCKETS = 1 << 14
 #: Most rated documents in the fit.
 MAX_TRAIN = 6000
 #: Distinct words that a document counts as having besides its own.
 DAMP = 8
+#: Characters beyond which a word is taken as several.
+LONG = 64
 #: Words whose features a worker keeps.
-CACHE = 200_000
+CACHE = 60_000
 
 _RUNS = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^a0A])\1+"), r"\1")]
 
@@ -50,7 +52,15 @@ def shape(word: str) -> str:
     case = "A" if word.isupper() else "Aa" if word[:1].isupper() else "a"
     for pattern, by in _RUNS:
         word = pattern.sub(by, word)
-    return case + ":" + word[:24]
+    return case + ":" + word
+
+
+def split(text: str) -> list[str]:
+    """The words; one of more than ``LONG`` characters counts as several of that length, to its end."""
+    words = text.split()
+    if max(map(len, words), default=0) > LONG:
+        words = [w[k : k + LONG] for w in words for k in range(0, len(w), LONG)]
+    return words
 
 
 class Words(dict):
@@ -62,7 +72,7 @@ class Words(dict):
     def __missing__(self, word: str):
         if len(self) >= CACHE:
             self.clear()
-        found = bucket("w:" + word.lower()[:64]), bucket("s:" + shape(word))
+        found = bucket("w:" + word.lower()), bucket("s:" + shape(word))
         self[word] = got = found if self.weights is None else (float(self.weights[found[0]]), float(self.weights[found[1]]))
         return got
 
@@ -77,7 +87,7 @@ def whole(words: list[str], distinct: int) -> list[tuple[str, float]]:
 
 def features(text: str, known: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets in order and their values."""
-    words, known = text.split(), Words() if known is None else known
+    words, known = split(text), Words() if known is None else known
     share: dict[int, float] = {}
     counts = Counter(words)
     for w, n in counts.items():
@@ -97,7 +107,7 @@ class Model:
     grades: np.ndarray
 
     def score(self, text: str) -> float:
-        return self.of(text.split(), Words(self.weights))
+        return self.of(split(text), Words(self.weights))
 
     def of(self, words: list[str], known: Words) -> float:
         # in the order of first occurrence, so that a rerun adds alike
@@ -169,26 +179,20 @@ def train(docs: DataFrame, ratings: DataFrame, max_train: int = MAX_TRAIN, id_co
     there = docs.select(F.col(id_col).alias("id")).distinct()
     chosen = cut(rated.join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_train), "quality-train")
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    got = sample.mapInArrow(_featured, "id long, grade int, at array<int>, value array<float>").toArrow()
+    got = sample.mapInArrow(tidy(_featured), "id long, grade int, at array<int>, value array<float>").toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
     at, value, grade = got.column("at").to_pylist(), got.column("value").to_pylist(), got.column("grade").to_numpy()
     return fit([(np.array(at[i], np.int64), np.array(value[i])) for i in order], grade[order])
 
 
-@functools.lru_cache(maxsize=1)
-def _known(key: bytes) -> Words:
-    return Words(np.frombuffer(key, np.float64))
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_grade: int = 1, min_tail: float = 0.5) -> DataFrame:
     """One row per document: its id, expected_grade, tail_prob = P(grade >= ``keep_grade``), kept = tail_prob >= ``min_tail``."""
     bound_batches(docs.sparkSession)
-    key = model.weights.astype(np.float64).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(key)
+        known = Words(model.weights)
         for batch in batches:
-            s = np.array([model.of(x.decode("utf-8", "replace").split(), known) for x in texts(batch.column("text"))])
+            s = np.array([model.of(split(x.decode("utf-8", "replace")), known) for x in texts(batch.column("text"))])
             tails = model.tails(s)
             expected = model.grades[0] + tails @ np.diff(model.grades) if len(s) else s
             above = np.searchsorted(model.grades, keep_grade)  # the first grade that is kept
@@ -197,7 +201,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, expected_grade double, tail_prob double, kept boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, expected_grade double, tail_prob double, kept boolean").withColumnRenamed("id", id_col)
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -210,17 +214,16 @@ def grades(labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_grade: int = 1, min_tail: float = 0.5) -> DataFrame:
     """``docs`` without those that the classifier rejects; decided row by row where the text already is."""
     model = train(docs, ratings, id_col=id_col, text_col=text_col)
-    key = model.weights.astype(np.float64).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(key)
+        known = Words(model.weights)
         above = np.searchsorted(model.grades, keep_grade)
         for batch in batches:
             if 0 < above < len(model.grades):
-                s = np.array([model.of(x.decode("utf-8", "replace").split(), known) for x in texts(batch.column(text_col))])
+                s = np.array([model.of(split(x.decode("utf-8", "replace")), known) for x in texts(batch.column(text_col))])
                 batch = batch.filter(pa.array(model.tails(s)[:, above - 1] >= min_tail, pa.bool_()) if len(s) else pa.array([], pa.bool_()))
             elif above:
                 batch = batch.slice(0, 0)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
