@@ -23,16 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, texts
+from .common import bound_batches, cut, fresh, texts, tidy
 
 #: Bytes of content that one table holds before it spills.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 32 << 20
 #: Spill files of one split.
 FANOUT = 16
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of content in one output batch.
 OUT_BYTES = 8 << 20
 
-Record = tuple[bytes, bytes, int | None, int]  # digest, content, largest id, rows
+Record = tuple[bytes, bytes, int | None, int, int]  # digest, content, largest id, rows, rows of that id
 
 
 class OpenTable:
@@ -43,18 +44,21 @@ class OpenTable:
         self.entries: list[list] = []
         self.size = 0
 
-    def add(self, digest: bytes, content: bytes, top: int | None, rows: int) -> None:
+    def add(self, digest: bytes, content: bytes, top: int | None, rows: int, twins: int) -> None:
         mask = len(self.slots) - 1
         at = int.from_bytes(digest[24:], "big") & mask
         while (k := self.slots[at]) >= 0:
             entry = self.entries[k]
             if entry[0] == digest and entry[1] == content:
-                entry[2] = top if entry[2] is None else entry[2] if top is None else max(entry[2], top)
                 entry[3] += rows
+                if top == entry[2]:
+                    entry[4] += twins
+                elif entry[2] is None or top is not None and top > entry[2]:
+                    entry[2], entry[4] = top, twins
                 return
             at = (at + 1) & mask
         self.slots[at] = len(self.entries)
-        self.entries.append([digest, content, top, rows])
+        self.entries.append([digest, content, top, rows, twins])
         self.size += len(content) + 200
         if 2 * len(self.entries) > len(self.slots):
             self._grow()
@@ -114,7 +118,7 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in zip(batch.column("id").to_pylist(), texts(batch.column("text"))):
                 low = text.lower()
-                yield hashlib.sha256(low).digest(), low, i, 1
+                yield hashlib.sha256(low).digest(), low, i, 1, 1
 
     yield from _batches(grace(records()), True)
 
@@ -122,13 +126,13 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def records() -> Iterator[Record]:
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("digest", "content", "top", "rows")))
+            yield from zip(*(batch.column(c).to_pylist() for c in ("digest", "content", "top", "rows", "twins")))
 
     yield from _batches((x for x in grace(records()) if x[3] > 1), False)
 
 
 def _batches(records: Iterator[Record], content: bool) -> Iterator[pa.RecordBatch]:
-    kinds = {"digest": pa.binary(), "content": pa.binary(), "top": pa.int64(), "rows": pa.int64()}
+    kinds = {"digest": pa.binary(), "content": pa.binary(), "top": pa.int64(), "rows": pa.int64(), "twins": pa.int64()}
     held, size = [], 0
 
     def out() -> pa.RecordBatch:
@@ -147,6 +151,12 @@ def _batches(records: Iterator[Record], content: bool) -> Iterator[pa.RecordBatc
         yield out()
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """digest, top, rows, twins: the largest id, number of rows and of those of that id of each content that several rows hold; whole contents are compared."""
+    partial = rows.mapInArrow(tidy(_collapse), "digest binary, content binary, top long, rows long, twins long")
+    return cut(partial.repartition("digest").mapInArrow(tidy(_merge), "digest binary, top long, rows long, twins long"), "exact-classes")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256.
 
@@ -156,10 +166,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    partial = rows.mapInArrow(_collapse, "digest binary, content binary, top long, rows long")
-    classes = cut(partial.repartition("digest").mapInArrow(_merge, "digest binary, top long, rows long"), "exact-classes")
-    members = rows.mapInArrow(_digests, "id long, digest binary")
-    joined = members.join(classes, "digest", "left")
+    members = rows.mapInArrow(tidy(_digests), "id long, digest binary")
+    joined = members.join(_classes(rows), "digest", "left")
     alone = F.col("rows").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.col("top"))
     return joined.select(
@@ -172,9 +180,27 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; all columns stay as they are."""
-    gone = exact_duplicates(docs, id_col, text_col).where("not kept and keep_id is not null").select(id_col).distinct()
-    return docs.join(cut(gone, "exact-dropped"), id_col, "left_anti")
+    """``docs`` with one row of each text, one of its largest id; all columns stay as they are.
+
+    Decided row by row, so ids may repeat, with equal or unlike texts; a text that only rows without id
+    hold keeps one of them.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    given = F.col(id_col).cast("long")
+    digest, of, top = (fresh(docs, f"text_{x}") for x in ("digest", "of", "top"))
+    rows = docs.select(given.alias("id"), F.col(text_col).cast("string").alias("text"))
+    classes = _classes(rows)
+    own = F.sha2(F.encode(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, UPPER.lower()), "utf-8"), 256)
+    held = docs.withColumn(digest, F.unhex(own))
+    known = classes.select(F.col("digest").alias(of), F.col("top").alias(top))
+    out = held.join(known, F.col(digest) == F.col(of), "left").where(F.col(of).isNull() | given.eqNullSafe(F.col(top))).drop(of, top)
+    again = cut(classes.where("twins > 1").select("digest"), "exact-twins")
+    if not again.isEmpty():  # rows that repeat the id that stays
+        twin = F.col(digest) == F.col(of)
+        again = again.withColumnRenamed("digest", of)
+        out = out.join(again, twin, "left_anti").unionByName(out.join(again, twin, "left_semi").dropDuplicates([digest]))
+    return out.drop(digest)
 
 
 ORACLE_SQL = """

@@ -32,18 +32,28 @@ def test_empty(spark, make_docs):
 
 
 def test_grace_spills_and_recurses():
-    records = [(hashlib.sha256(x).digest(), x, i, 1) for i in range(3) for x in (b"%d" % k * 50 for k in range(400))]
+    records = [(hashlib.sha256(x).digest(), x, i, 1, 1) for i in range(3) for x in (b"%d" % k * 50 for k in range(400))]
     got = sorted(op.grace(iter(records), memory=4000, fanout=3))
-    assert [(c, top, n) for _, c, top, n in got] == [(c, 2, 3) for _, c, _, _ in sorted(set((r[0], r[1], 0, 0) for r in records))]
+    assert [(c, top, n, t) for _, c, top, n, t in got] == [(c, 2, 3, 1) for _, c in sorted({r[:2] for r in records})]
 
 
 def test_equal_digests_of_different_content_stay_apart():
     same = b"\0" * 32
-    got = sorted(op.grace(iter([(same, b"a", 1, 1), (same, b"b", 2, 1), (same, b"a", 3, 1)]), memory=1, fanout=2))
-    assert got == [(same, b"a", 3, 2), (same, b"b", 2, 1)]
+    got = sorted(op.grace(iter([(same, b"a", 1, 1, 1), (same, b"b", 2, 1, 1), (same, b"a", 3, 1, 1), (same, b"a", 3, 1, 1)]), memory=1, fanout=2))
+    assert got == [(same, b"a", 3, 3, 2), (same, b"b", 2, 1, 1)]
 
 
 def test_drop_keeps_one_of_each(spark, make_docs):
     docs = make_docs([(1, "a"), (2, "A"), (3, "b"), (4, None), (5, "")])
     kept = op.drop_duplicates(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5]
+
+
+def test_drop_decides_by_row(spark, make_docs):
+    """No text is lost with a twin of its id, and of repeated rows one stays."""
+    rows = [(1, "a"), (1, "b"), (2, "A"), (3, "same"), (3, "same"), (4, "c"), (4, "SAME"), (None, "A"), (None, "x"), (None, "X"), (None, None), (5, "")]
+    docs = make_docs(rows).withColumn("row_number", F.lit("clash")).withColumn("digest", F.lit(1)).withColumn("id", F.lit("clash")).repartition(3)
+    kept = op.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, "b"), (2, "a"), (4, "c"), (4, "same"), (None, "x"), (5, "")], key=repr)
