@@ -19,7 +19,12 @@ from pyspark.sql import types as T
 from skylocus.functions.wifi import EARTH_M, clamp
 
 ALGORITHMS = ["LOG_DISTANCE", "MAXIMUM_LIKELIHOOD", "PROXIMITY", "RSSI_RATIO", "TRILATERATION", "WEIGHTED_CENTROID"]
-METHOD = {"PROXIMITY": "proximity", "RSSI_RATIO": "rssiratio", "WEIGHTED_CENTROID": "weighted_centroid", "TRILATERATION": "trilateration", "MAXIMUM_LIKELIHOOD": "maximum_likelihood", "LOG_DISTANCE": "log_distance"}
+METHOD = {"PROXIMITY": "proximity", "RSSI_RATIO": "rssiratio", "WEIGHTED_CENTROID": "weighted_centroid", "TRILATERATION": "trilateration", "MAXIMUM_LIKELIHOOD": "maximum_likelihood", "LOG_DISTANCE": "log_distance_path_loss"}
+
+#: P-01, fixed values: what a valid request holds. ``pos`` numbers a request's scans from 0 or 1.
+MOST_SCANS, MAC_PATTERN = 20, "^([0-9A-Fa-f]{2}[:-]){5}([0-9A-Fa-f]{2})$"
+SIGNAL_RANGE, FREQUENCY_RANGE, WIDTH_RANGE = (-100, 0), (2400, 6000), (20, 160)
+LONGEST = {"client": ("Client", 50), "application": ("Application", 100)}
 
 #: P-15, fixed values: for each algorithm its weight by number of access points (1, 2, 3, 4 or more), then
 #: factors by signal (strong, medium, weak, very weak), geometry (excellent, good, fair, poor, collinear)
@@ -72,6 +77,66 @@ def _position(lat: Column, lon: Column, alt: Column, acc: Column, conf: Column)
     return F.when(fine, F.struct(lat.alias("latitude"), lon.alias("longitude"), alt.cast("double").alias("altitude"), acc.alias("accuracy"), conf.alias("confidence")))
 
 
+def scan_faults(columns: list[str]) -> Column:
+    """P-01: the messages of the rules that a scan breaks; of the columns that may be absent, those in ``columns`` count."""
+    mac, rssi, freq = F.col("mac_addr"), F.col("rssi"), F.col("frequency")
+    blank = mac.isNull() | (F.trim(mac) == "")
+    rules = [
+        (blank, "MAC address is required"),
+        (~blank & ~mac.rlike(MAC_PATTERN), "Invalid MAC address format"),
+        (rssi.isNull(), "Signal strength cannot be null"),
+        (rssi < SIGNAL_RANGE[0], f"Signal strength must be at least {SIGNAL_RANGE[0]} dBm"),
+        (rssi > SIGNAL_RANGE[1], f"Signal strength must be at most {SIGNAL_RANGE[1]} dBm"),
+        (freq.isNull(), "Frequency cannot be null"),
+        (freq < FREQUENCY_RANGE[0], f"Frequency must be at least {FREQUENCY_RANGE[0]} MHz"),
+        (freq > FREQUENCY_RANGE[1], f"Frequency must be at most {FREQUENCY_RANGE[1]} MHz"),
+    ]
+    if "channel_width" in columns:
+        rules += [(F.col("channel_width") < WIDTH_RANGE[0], f"Channel width must be at least {WIDTH_RANGE[0]} MHz"), (F.col("channel_width") > WIDTH_RANGE[1], f"Channel width must be at most {WIDTH_RANGE[1]} MHz")]
+    if "link_speed" in columns:
+        rules.append((F.col("link_speed") < 0, "Link speed must be non-negative"))
+    if "client" in columns:
+        rules.append((F.col("client").isNull() | (F.trim("client") == ""), "Client is required"))
+    rules += [(F.length(c) > most, f"{said} must be at most {most} characters") for c, (said, most) in LONGEST.items() if c in columns]
+    return F.array_compact(F.array(*[F.when(broken, F.lit(said)) for broken, said in rules]))
+
+
+def fault_text(messages: Column, n_scans: Column) -> Column:
+    """P-01: the messages in order, as one text; null if there are none. ``messages``: one array for each scan."""
+    many = F.when(~n_scans.between(1, MOST_SCANS), F.lit(f"Between 1 and {MOST_SCANS} WiFi scan results must be provided"))
+    found = F.array_sort(F.array_compact(F.array_append(F.array_distinct(F.flatten(messages)), many)))
+    return F.when(F.size(found) > 0, F.array_join(found, "; "))
+
+
+def request_faults(scans: DataFrame) -> DataFrame:
+    """P-01: request_id, n_scans and faults (null if valid) of each request. Sets of messages are bounded by the rules, however many scans there are."""
+    broken = scans.withColumn("_faults", scan_faults(scans.columns))
+    out = broken.groupBy("request_id").agg(F.count("*").alias("n_scans"), F.collect_set("_faults").alias("_all"))
+    return out.select("request_id", "n_scans", fault_text(F.col("_all"), F.col("n_scans")).alias("faults"))
+
+
+def method_names(selected: Column) -> Column:
+    """P-21: the names of the selected algorithms' methods, in order, joined by commas."""
+    return F.array_join(F.array_sort(F.transform(selected, lambda c: reduce(lambda a, kv: a.when(c["algorithm"] == kv[0], kv[1]), METHOD.items(), F.when(F.lit(False), "")))), ",")
+
+
+def status_histogram(known: DataFrame) -> DataFrame:
+    """P-22: request_id and statuses, ``status=count`` in order of status, of the known access points' rows."""
+    n = known.groupBy("request_id", "status").count()
+    pair = F.struct("status", F.concat_ws("=", "status", F.col("count").cast("string")).alias("t"))
+    return n.groupBy("request_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["t"]), ",").alias("statuses"))
+
+
+def location_certainty(known: DataFrame) -> DataFrame:
+    """P-23: request_id and certainty, the mean confidence of the access points used."""
+    return known.groupBy("request_id").agg(F.avg("confidence").alias("certainty"))
+
+
+def signal_pairs(aps: Column) -> Column:
+    """J-04: the difference of signals of every pair of scans inside a request's bounded array, without a self-join."""
+    return F.flatten(F.transform(aps, lambda a: F.transform(F.filter(aps, lambda b: b["pos"] > a["pos"]), lambda b: F.abs(a["s"] - b["s"]))))
+
+
 def gather(joined: DataFrame, keep: list[str] = []) -> DataFrame:
     """request_id and ``aps``, its scans with their access points in scan order. ``joined`` has a row per scan: request_id, pos, mac_addr, rssi, frequency and the registry's columns."""
     one = F.struct("pos", "mac_addr", F.col("rssi").cast("double").alias("s"), F.col("frequency").cast("double").alias("f"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("altitude").alias("alt"), F.col("horizontal_accuracy").alias("hacc"), F.col("confidence").alias("conf"), F.lower("vendor").alias("vendor"))
@@ -507,16 +572,22 @@ def positions(scans: DataFrame, registry: DataFrame, likelihood: bool = True) ->
     keep = ["n_scans", "n_known"]
     counted = known.withColumn("_valid", F.col("status").isin(*VALID))
     one = F.struct("pos", "mac_addr", F.col("rssi").cast("double").alias("s"), F.col("frequency").cast("double").alias("f"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("altitude").alias("alt"), F.col("horizontal_accuracy").alias("hacc"), F.col("confidence").alias("conf"), F.lower("vendor").alias("vendor"), F.col("_valid").alias("valid"))
-    req = counted.groupBy("request_id").agg(F.sort_array(F.collect_list(one)).alias("raw"), F.count("*").alias("n_scans"), F.count("status").alias("n_known"))
+    counted = counted.withColumn("_faults", scan_faults(scans.columns))
+    few = F.when(F.col("pos") <= MOST_SCANS, one)  # requests of more are not valid; their scans are counted, not gathered
+    req = counted.groupBy("request_id").agg(F.sort_array(F.collect_list(few)).alias("raw"), F.collect_set("_faults").alias("_all"), F.count("*").alias("n_scans"), F.count("status").alias("n_known"))
+    req = req.withColumn("faults", fault_text(F.col("_all"), F.col("n_scans"))).drop("_all")
+    req = req.withColumn("raw", F.when(F.col("faults").isNull(), F.col("raw")).otherwise(F.slice("raw", 1, 0)))
     req = req.withColumn("physics", physics_ok(F.col("raw"))).withColumn("aps", F.filter("raw", lambda a: F.coalesce(a["valid"], F.lit(False)))).drop("raw")
+    req = req.withColumn("physics_known", physics_ok(F.col("aps")))  # P-02 holds once more for the scans that position
     req = with_selection(with_context(req))
     req = settled(with_estimates(req, likelihood).withColumn("position", combine(F.col("estimates"))))
-    methods = F.array_join(F.array_sort(F.transform("selected", lambda c: reduce(lambda a, kv: a.when(c["algorithm"] == kv[0], kv[1]), METHOD.items(), F.when(F.lit(False), "")))), ",")
+    methods = method_names(F.col("selected"))
     error = (
-        F.when(~F.col("physics"), "physically impossible signals")
+        F.when(F.col("faults").isNotNull(), F.col("faults"))
+        .when(~F.col("physics"), "physically impossible signals")
         .when(F.col("n_known") == 0, "no known access points found in database")
         .when(F.size("aps") == 0, "no access points with valid status found")
-        .when(F.col("position").isNull(), "position calculation failed")
+        .when(~F.col("physics_known") | F.col("position").isNull(), "position calculation failed")
     )
     req = settled(req.withColumn("error", error))
     fine = F.col("error").isNull()

@@ -345,13 +345,38 @@ def j01(spark, sf_dir):
     f"with {_J} select a.request_id, count(*) as pairs, round(sum(abs(a.s - b.s)) / 30, 6) as weight from j a join j b on a.request_id = b.request_id and a.pos < b.pos group by a.request_id",
 )
 def j04(spark, sf_dir):
-    """J-04: pairs inside a request's bounded array, without a self-join."""
-    later = lambda a: F.filter("aps", lambda b: b["pos"] > a["pos"])
-    pairs = F.flatten(F.transform("aps", lambda a: F.transform(later(a), lambda b: F.abs(a["s"] - b["s"]))))
+    """J-04."""
+    pairs = positioning.signal_pairs(F.col("aps"))
     out = _requests(spark, sf_dir).select("request_id", F.size(pairs).cast("long").alias("pairs"), F.round(F.aggregate(pairs, F.lit(0.0), lambda t, x: t + x) / 30, 6).alias("weight"))
     return out.where("pairs > 0")
 
 
+def _faults_sql(more: str = "") -> str:
+    """P-01 as the list of a scan's messages."""
+    rules = ["when not regexp_full_match(mac_addr, '([0-9A-Fa-f]{2}[:-]){5}([0-9A-Fa-f]{2})') then 'Invalid MAC address format'", "when rssi < -100 then 'Signal strength must be at least -100 dBm'", "when rssi > 0 then 'Signal strength must be at most 0 dBm'", "when frequency < 2400 then 'Frequency must be at least 2400 MHz'", "when frequency > 6000 then 'Frequency must be at most 6000 MHz'", *filter(None, more.split(";"))]
+    return "[" + ", ".join(f"case {r} end" for r in rules) + "]"
+
+
+_MANY = "case when count(*) > 20 then 'Between 1 and 20 WiFi scan results must be provided' end"
+_MORE = "when channel_width < 20 then 'Channel width must be at least 20 MHz';when channel_width > 160 then 'Channel width must be at most 160 MHz';when trim(client) = '' then 'Client is required';when length(client) > 50 then 'Client must be at most 50 characters'"
+
+
+@query(
+    "P01_request_faults",
+    f"""with {h.SQL['scans']}, x as (select request_id // 4 as request_id, case when pos % 10 = 9 then replace(mac_addr, ':', '.') else mac_addr end as mac_addr, rssi, frequency - 100 * (request_id % 2) as frequency, 20 * (pos % 10) as channel_width, case when request_id % 68 < 4 then ' ' when request_id % 92 < 4 then repeat('c', 51) else 'c' end as client from scans),
+    y as (select request_id, unnest({_faults_sql(_MORE)}) as said from x), z as (select request_id, said from y where said is not null union select request_id, {_MANY} from x group by request_id),
+    n as (select request_id, count(*) as n_scans from x group by request_id)
+    select request_id, any_value(n_scans) as n_scans, string_agg(distinct said, '; ' order by said) as faults from n left join z using (request_id) group by request_id""",
+)
+def p01(spark, sf_dir):
+    """P-01, on scans of which some are spoilt."""
+    scans = h.scans(spark, sf_dir)
+    mac = F.when(F.col("pos") % 10 == 9, F.replace("mac_addr", F.lit(":"), F.lit("."))).otherwise(F.col("mac_addr"))
+    client = F.when(F.col("request_id") % 68 < 4, " ").when(F.col("request_id") % 92 < 4, "c" * 51).otherwise("c")
+    spoilt = scans.select(F.expr("request_id div 4").alias("request_id"), "pos", mac.alias("mac_addr"), "rssi", (F.col("frequency") - 100 * (F.col("request_id") % 2)).alias("frequency"), (20 * (F.col("pos") % 10)).alias("channel_width"), client.alias("client"))
+    return positioning.request_faults(spoilt)
+
+
 @query(
     "P02_signal_physics",
     f"""with {_J}, b as (select request_id, f, max(s) as hi, min(s) as lo, count(*) as n, bool_and(s between -100 and -30) as fine from j group by request_id, f)
@@ -433,11 +458,12 @@ def p18(spark, sf_dir):
 
 def _estimate(spark, sf_dir, estimator) -> DataFrame:
     out = _requests(spark, sf_dir).withColumn("p", estimator(F.col("aps"))).where("p is not null")
-    return out.select("request_id", *[F.round(f"p.{c}", 6).alias(c) for c in ("latitude", "longitude", "altitude")], *[F.round(f"p.{c}", 4).alias(c) for c in ("accuracy", "confidence")])
+    return out.select("request_id", *[F.round(f"p.{c}", 6).alias(c) for c in ("latitude", "longitude", "altitude")], *[F.round(f"p.{c}", 8).alias(c) for c in ("accuracy", "confidence")])
 
 
 def _est_sql(lat: str, lon: str, alt: str, acc: str, conf: str) -> str:
-    return f"round({lat}, 6) as latitude, round({lon}, 6) as longitude, round({alt}, 6) as altitude, round({acc}, 4) as accuracy, round({conf}, 4) as confidence"
+    # accuracies are often ties in the fifth decimal, which the engines round apart
+    return f"round({lat}, 6) as latitude, round({lon}, 6) as longitude, round({alt}, 6) as altitude, round({acc}, 8) as accuracy, round({conf}, 8) as confidence"
 
 
 @query("A01_proximity", f"with {_J}, r as (select *, row_number() over (partition by request_id order by s desc, pos) as k from j) select request_id, {_est_sql('lat', 'lon', 'coalesce(alt, 0)', 'hacc', 'least(0.85, greatest(0, (s + 90) / 60))')} from r where k = 1")
@@ -498,7 +524,7 @@ def a05(spark, sf_dir):
 @query("A06_maximum_likelihood")
 def a06(spark, sf_dir):
     """A-06: iterative."""
-    out = _requests(spark, sf_dir).where("size(aps) >= 4").withColumn("p", positioning.maximum_likelihood(F.col("aps"))).where("p is not null")
+    out = _requests(spark, sf_dir).withColumn("p", positioning.maximum_likelihood(F.col("aps"))).where("p is not null")
     return out.select("request_id", *[F.round(f"p.{c}", 5).alias(c) for c in ("latitude", "longitude", "altitude", "accuracy", "confidence")])
 
 
@@ -519,8 +545,11 @@ def positions(spark, sf_dir):
     f"""with {h.SQL['reg']}, {h.SQL['scans']}, a as (select request_id, s.frequency as f, rssi as s, r.status, r.status in {_VALID} as valid from scans s left join reg r using (mac_addr)),
     b as (select request_id, f, max(s) as hi, min(s) as lo, count(*) as n, bool_and(s between -100 and -30) as fine from a group by request_id, f),
     p as (select request_id, bool_and(fine and (n < 2 or hi <= -50 or hi - lo <= 45 or (hi = -30 and lo = -100))) as ok from b group by request_id),
+    b2 as (select request_id, f, max(s) as hi, min(s) as lo, count(*) as n from a where valid group by request_id, f),
+    p2 as (select request_id, bool_and(n < 2 or hi <= -50 or hi - lo <= 45 or (hi = -30 and lo = -100)) as ok2 from b2 group by request_id),
+    y as (select request_id, unnest({_faults_sql()}) as said from scans), z as (select request_id, string_agg(distinct said, '; ' order by said) as faults from (select request_id, said from y union select request_id, {_MANY} from scans group by request_id) group by request_id),
     c as (select request_id, count(*) as n_scans, count(status) as n_known, count(*) filter (where valid) as n_valid from a group by request_id)
-    select request_id, n_scans, n_known, case when not ok then 'physically impossible signals' when n_known = 0 then 'no known access points found in database' when n_valid = 0 then 'no access points with valid status found' end as error from c join p using (request_id)""",
+    select request_id, n_scans, n_known, case when faults is not null then faults when not ok then 'physically impossible signals' when n_known = 0 then 'no known access points found in database' when n_valid = 0 then 'no access points with valid status found' when not ok2 then 'position calculation failed' end as error from c join p using (request_id) left join p2 using (request_id) left join z using (request_id)""",
 )
 def p03(spark, sf_dir):
     """P-03."""
@@ -530,16 +559,13 @@ def p03(spark, sf_dir):
 @query("P22_status_histogram", f"with {_J.replace(f' where r.status in {_VALID}', '')} select request_id, string_agg(status || '=' || n, ',' order by status) as statuses from (select request_id, status, count(*) as n from j group by request_id, status) group by request_id")
 def p22(spark, sf_dir):
     """P-22."""
-    known = reg_source.known_scans(h.scans(spark, sf_dir), h.registry(spark, sf_dir))
-    n = known.groupBy("request_id", "status").count()
-    pair = F.struct("status", F.concat_ws("=", "status", F.col("count").cast("string")).alias("t"))
-    return n.groupBy("request_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["t"]), ",").alias("statuses"))
+    return positioning.status_histogram(reg_source.known_scans(h.scans(spark, sf_dir), h.registry(spark, sf_dir)))
 
 
 @query("P23_location_certainty", f"with {_J} select request_id, round(avg(conf), 6) as certainty from j group by request_id")
 def p23(spark, sf_dir):
     """P-23."""
-    return _joined(spark, sf_dir).groupBy("request_id").agg(F.round(F.avg("confidence"), 6).alias("certainty"))
+    return positioning.location_certainty(_joined(spark, sf_dir)).select("request_id", F.round("certainty", 6).alias("certainty"))
 
 
 # Comparison: provider A is derived from the order, provider B is the loudest access point, so that both engines agree to the last digit
@@ -685,10 +711,10 @@ def r03(spark, sf_dir):
     return reports.status_counts(_enriched(spark, sf_dir))
 
 
-@query("R04_method_counts", f"with {_SEL} select lower(algorithm) as method, count(*) as n from sel group by 1")
+@query("R04_method_counts", f"with {_SEL} select case algorithm when 'LOG_DISTANCE' then 'log_distance_path_loss' when 'RSSI_RATIO' then 'rssiratio' else lower(algorithm) end as method, count(*) as n from sel group by 1")
 def r04(spark, sf_dir):
     """R-04."""
-    out = positioning.with_selection(_contexts(spark, sf_dir)).select(F.lower(F.array_join(F.transform("selected", lambda c: c["algorithm"]), ",")).alias("methods"))
+    out = positioning.with_selection(_contexts(spark, sf_dir)).select(positioning.method_names(F.col("selected")).alias("methods"))
     return reports.method_counts(out)
 
 
