@@ -5,17 +5,18 @@ document with a smaller id, judged on the input; matches never cross documents.
 
 No machine can sort the suffixes of a corpus, so they are dealt out exactly: each string of WIDTH bytes
 is filed under the leftmost smallest hash of its ``GRAM``-byte pieces, which equal strings share. The
-strings of a document under one such anchor lie side by side; the stretch they cover is sent to the
-anchor's group if documents of different ids share that anchor; of whole copies only the smallest id is
-looked at, the others go entirely. Equal stretches are sent on as one, with their
-smallest id. All groups of a task's batch are sorted at once: suffixes are grouped by their Lyndon prefix,
+strings of a document under one such anchor lie side by side and form a stretch. First only the anchors'
+hashes meet, one for each chunk of documents that has it; the stretches under anchors of several documents
+are then taken from the chunks, equal ones as one with their smallest id, and sent to the anchor's group.
+Of whole copies only the smallest id is looked at, the others go entirely. All groups of a task's batch
+that hold unlike stretches are sorted at once: suffixes are grouped by their Lyndon prefix,
 groups taken in descending order along previous-smaller pointers, and each group's order then emitted
 from the ranks of the next smaller suffixes. Neighbours in the array that agree on WIDTH bytes form a
 run, and the smallest id of the run decides. A group of more than ``GROUP_TEXTS`` stretches is refiled, each string
 under its own hash, so none grows with the corpus.
 
 Cases: null text is empty; texts under WIDTH bytes lose nothing; a null id counts as larger than every
-id; a repeated row is judged like its twin; an empty table gives an empty result; other columns are ignored.
+id; a very long text is a chunk of its own and needs some forty times its bytes; a repeated row is judged like its twin; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +33,23 @@ from .common import bound_batches, cut, forget_shuffles, ranges, release, sliced
 
 WIDTH = 50
 GRAM = 26
+#: Strings of one stretch at most.
+STRETCH = 64
 #: Distinct stretches of one group beyond which it is refiled by single strings.
 GROUP_TEXTS = 4096
 #: Bytes of stretches sorted at once, give or take a group.
 SORT_BYTES = 1 << 20
 #: Bytes of documents hashed at once, give or take a document.
 HASH_BYTES = 1 << 20
+#: Rows of an Arrow batch of numbers; those of texts are bounded by bytes.
+TABLE_ROWS = 1 << 14
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+PLACES = "array<struct<id: long, mark: long, at: int>>"
 LAST = (1 << 63) - 1
+RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("low", pa.int64())]))
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_KEPT: dict[np.uint64, np.ndarray] = {}
 _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -149,49 +158,96 @@ def anchors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         none = np.empty(0, np.int64)
         return none, none, none, none
     with np.errstate(over="ignore"):
-        power = np.multiply.accumulate(np.full(len(data), _BASE))
-        total = np.r_[np.uint64(0), np.cumsum(_TABLE[data] * power)]
-        inverse = np.multiply.accumulate(np.full(len(data) - GRAM + 1, np.uint64(pow(int(_BASE), -1, 1 << 64))))
-        code = (total[GRAM:] - total[: len(total) - GRAM]) * inverse
-        code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        total = np.empty(len(data) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_TABLE[data] * _powers(_BASE, len(data)), out=total[1:])
+        code = total[GRAM:] - total[:-GRAM]
+        code *= _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), len(code))
+        code ^= code >> np.uint64(29)
+        code *= np.uint64(0xBF58476D1CE4E5B9)
         code ^= code >> np.uint64(32)
-    least, span, wanted = np.arange(len(code)), 1, WIDTH - GRAM + 1
-    while span < wanted:
+    span, wanted = 1, WIDTH - GRAM + 1
+    while span < wanted:  # the least hash among so many pieces from each byte on
         step = min(span, wanted - span)
-        a, b = least[:-step], least[step:]
-        least, span = np.where(code[a] <= code[b], a, b), span + step
-    anchor = least[starts]
-    first = np.flatnonzero(np.r_[True, np.diff(anchor) != 0])
+        code, span = np.minimum(code[:-step], code[step:]), span + step
+    code = code[starts]
+    fresh = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (np.diff(starts) != 1)])
+    times = np.diff(np.r_[fresh, len(starts)])
+    pieces = -(-times // STRETCH)  # periodic text keeps one anchor for long
+    first = np.repeat(fresh, pieces) + ranges(np.zeros(len(fresh), np.int64), pieces) * STRETCH
     begin = starts[first]
     row = np.searchsorted(offsets, begin, side="right") - 1
-    return row, code[anchor[first]].view(np.int64), begin - offsets[row], np.diff(np.r_[first, len(starts)]) + WIDTH - 1
-
-
-def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, parts in sliced(batches, HASH_BYTES):
-        row, code, at, length = anchors(parts)
-        for k in range(0, len(row), 1 << 18):
-            s = slice(k, k + (1 << 18))
-            take = pa.array(row[s])
-            yield pa.RecordBatch.from_arrays([pa.array(code[s]), batch.column("id").take(take), batch.column("mark").take(take), pa.array(at[s], pa.int32()), pa.array(length[s], pa.int32())], names=["code", "id", "mark", "at", "size"])
-
-
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, parts in sliced(batches, HASH_BYTES):
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        lengths = np.array([len(p) for p in parts], np.int64)
-        spots = batch.column("spots")
-        row = spots.value_parent_indices().to_numpy()
-        flat = spots.flatten()
-        at, size = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-        begin = (np.cumsum(lengths) - lengths)[row] + at
-        for k in range(0, len(row), 1 << 16):
-            s = slice(k, k + (1 << 16))
-            body = data[ranges(begin[s], size[s])].tobytes()
-            ends = np.r_[0, np.cumsum(size[s])].astype(np.int32)
-            piece = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(body)])
-            take = pa.array(row[s])
-            yield pa.RecordBatch.from_arrays([flat.field(2).slice(k, 1 << 16), piece, batch.column("id").take(take), batch.column("mark").take(take), pa.array(at[s], pa.int32())], names=["code", "piece", "id", "mark", "at"])
+    return row, code[first].view(np.int64), begin - offsets[row], np.diff(np.r_[first, len(starts)]) + WIDTH - 1
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base, base ** 2, ... modulo 2 ** 64; kept for texts of usual size."""
+    if n > 2 * HASH_BYTES:
+        return np.multiply.accumulate(np.full(n, base))
+    if base not in _KEPT:
+        _KEPT[base] = np.multiply.accumulate(np.full(2 * HASH_BYTES, base))
+    return _KEPT[base][:n]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in chunks of some HASH_BYTES, or of one document."""
+    for batch, _ in sliced(batches, HASH_BYTES):
+        lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), pa.concat_arrays([batch.column(c).cast(t)])) for c, t in (("id", pa.int64()), ("mark", pa.int64()), ("text", pa.binary()))]
+        yield pa.RecordBatch.from_arrays(lists, names=["ids", "marks", "texts"])
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each anchor of a chunk once; the tag is twice the chunk, and one more if several of its documents have the anchor."""
+    for batch in batches:
+        for chunk, parts in zip(batch.column("chunk").to_pylist(), batch.column("texts")):
+            row, code, _, _ = anchors(parts.as_py())
+            by = np.argsort(code, kind="stable")  # rows ascend within a code
+            code, row = code[by], row[by]
+            run = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else by
+            many = row[run] != row[np.r_[run[1:], len(code)] - 1] if len(code) else by
+            for k in range(0, len(run), 1 << 17):
+                s = slice(k, k + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(code[run[s]]), pa.array(2 * chunk + many[s].astype(np.int64))], names=["code", "tag"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunk and code of anchors that several documents have; rows come sorted by code, of which one may have any number."""
+    last = tag = None  # the code that ended the batch before, and its tag if that stands alone so far
+    for batch in batches:
+        code, tags = (batch.column(c).to_numpy() for c in ("code", "tag"))
+        known = tag is None and last is not None and code[0] == last
+        if tag is not None:
+            code, tags = np.r_[last, code], np.r_[tag, tags]
+        run = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        times = np.diff(np.r_[run, len(code)])
+        shared = (times > 1) | (tags[run] & 1 == 1)
+        shared[0] |= known
+        last, tag = code[-1], None if shared[-1] else tags[-1]
+        keep = np.repeat(shared, times)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(tags[keep] >> 1), pa.array(code[keep])], names=["chunk", "code"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct stretches of each chunk under its shared anchors, with their smallest and largest id and their places."""
+    for batch in batches:
+        for ids, marks, parts, codes in zip(*(batch.column(c) for c in ("ids", "marks", "texts", "codes"))):
+            parts, shared = parts.as_py(), np.sort(codes.values.to_numpy())
+            row, code, at, size = anchors(parts)
+            wanted = shared[np.minimum(np.searchsorted(shared, code), len(shared) - 1)] == code
+            row, code, at, size = row[wanted], code[wanted], at[wanted], size[wanted]
+            found: dict[bytes, int] = {}
+            index = np.array([found.setdefault(parts[r][a:b], len(found)) for r, a, b in zip(row.tolist(), at.tolist(), (at + size).tolist())], np.int64)
+            if not len(index):
+                continue
+            by = np.argsort(index, kind="stable")
+            run = np.flatnonzero(np.r_[True, np.diff(index[by]) != 0])
+            ids, marks = (x.values.to_numpy()[row[by]] for x in (ids, marks))
+            places = pa.StructArray.from_arrays([pa.array(ids), pa.array(marks), pa.array(at[by], pa.int32())], ["id", "mark", "at"])
+            columns = [pa.array(code[by[run]]), pa.array(list(found), pa.binary()), pa.array(np.minimum.reduceat(ids, run)), pa.array(np.maximum.reduceat(ids, run)), pa.ListArray.from_arrays(pa.array(np.r_[run, len(by)], pa.int32()), places)]
+            out = pa.RecordBatch.from_arrays(columns, names=["code", "piece", "low", "high", "places"])
+            for k in range(0, out.num_rows, 1 << 13):
+                yield out.slice(k, 1 << 13)
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +268,18 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decide(rows: list[tuple]) -> pa.RecordBatch:
     """code, piece and runs (first and last start, smallest id) of (code, piece, smallest id, largest id) rows.
 
-    Runs that no document of the stretch can lose by, as none has a larger id, are left out.
+    Runs that no document of the stretch can lose by, as none has a larger id, are left out. A group of
+    one stretch is one run and needs no order.
     """
+    codes = np.array([r[0] for r in rows], np.int64)
+    change = codes[1:] != codes[:-1]
+    alone = np.r_[True, change] & np.r_[change, True]
+    single = [r for r, one in zip(rows, alone.tolist()) if one]
+    columns = [pa.array([r[0] for r in single], pa.int64()), pa.array([r[1] for r in single], pa.binary()), pa.array([[{"first": 0, "last": len(r[1]) - WIDTH, "low": r[2]}] if r[2] < r[3] else [] for r in single], RUNS)]
+    done = pa.RecordBatch.from_arrays(columns, names=["code", "piece", "runs"])
+    rows = [r for r, one in zip(rows, alone.tolist()) if not one]
+    if not rows:
+        return done
     code = np.array([r[0] for r in rows], np.int64)
     low = np.array([r[2] for r in rows], np.int64)
     length = np.array([len(r[1]) for r in rows], np.int64)
@@ -245,7 +311,8 @@ def decide(rows: list[tuple]) -> pa.RecordBatch:
     cuts, lasts = cuts[needed], lasts[needed]
     fields = [pa.array(order[cuts] - begin[owner[cuts]], pa.int32()), pa.array(order[lasts] - begin[owner[cuts]], pa.int32()), pa.array(least[cuts])]
     runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[cuts], np.arange(len(rows) + 1)), pa.int32()), pa.StructArray.from_arrays(fields, ["first", "last", "low"]))
-    return pa.RecordBatch.from_arrays([pa.array(code), pa.array([r[1] for r in rows], pa.binary()), runs], names=["code", "piece", "runs"])
+    several = pa.RecordBatch.from_arrays([pa.array(code), pa.array([r[1] for r in rows], pa.binary()), runs.cast(RUNS)], names=["code", "piece", "runs"])
+    return pa.concat_batches([done, several])
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -280,7 +347,9 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_texts: int = GROUP_TEXTS) -> DataFrame:
     """One row per input row: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed)."""
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, TABLE_ROWS)
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(4 * HASH_BYTES))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     long = rows.where(F.octet_length("text") >= WIDTH)
@@ -289,19 +358,21 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     known = long.select("id", "mark", F.octet_length("text").alias("b"), F.unhex(F.sha2("text", 256)).alias("digest"))
     least = known.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     copies = cut(known.join(least, "digest").where("id > least").select("id", "mark", F.lit(0).alias("a"), "b").distinct(), "suffix-copies")
-    alone = cut(long.select("id", "mark", "text").join(copies.select("id", "mark"), ["id", "mark"], "left_anti"), "suffix-alone")
-
-    spots = cut(alone.mapInArrow(_spots, "code long, id long, mark long, at int, size int"), "suffix-spots")
-    shared = cut(spots.groupBy("code").agg(F.min("id").alias("m"), F.max("id").alias("n")).where("m <> n").select("code"), "suffix-shared")
+    left = long.select("id", "mark", "text").join(copies.select("id", "mark"), ["id", "mark"], "left_anti")
+    chunks = left.mapInArrow(_pack, "ids array<long>, marks array<long>, texts array<binary>")
+    chunks = cut(chunks.select(F.monotonically_increasing_id().alias("chunk"), "*"), "suffix-chunks")
     forget_shuffles(spark)
-    wanted = cut(spots.join(shared, "code").groupBy("id", "mark").agg(F.collect_set(F.struct("at", "size", "code")).alias("spots")), "suffix-wanted")
-    release(spark, spots, shared)
+
+    # anchors that several documents have: an anchor travels once for each chunk, as hash and tag
+    tags = chunks.select("chunk", "texts").mapInArrow(_codes, "code long, tag long")
+    shared = cut(tags.repartition("code").sortWithinPartitions("code").mapInArrow(_meet, "chunk long, code long"), "suffix-shared")
     forget_shuffles(spark)
-    pieces = cut(alone.join(wanted, ["id", "mark"]).select("id", "mark", "text", "spots").mapInArrow(_stretches, "code long, piece binary, id long, mark long, at int"), "suffix-pieces")
-    release(spark, alone, wanted)
+    wanted = shared.groupBy("chunk").agg(F.collect_list("code").alias("codes"))
+    pieces = cut(chunks.join(wanted, "chunk").select("ids", "marks", "texts", "codes").mapInArrow(_pieces, f"code long, piece binary, low long, high long, places {PLACES}"), "suffix-pieces")
+    release(spark, chunks, shared)
     forget_shuffles(spark)
 
-    distinct = cut(pieces.groupBy("code", "piece").agg(F.min("id").alias("low"), F.max("id").alias("high")), "suffix-distinct")
+    distinct = cut(pieces.groupBy("code", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high")), "suffix-distinct")
     big = cut(distinct.groupBy("code").count().where(F.col("count") > group_texts).select("code"), "suffix-big")
     starts = F.explode(F.sequence(F.lit(0), F.length("piece") - WIDTH)).alias("k")
     string = F.expr(f"substring(piece, k + 1, {WIDTH})").alias("piece")
@@ -313,12 +384,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     verdict = cut(verdict.where(F.size("runs") > 0).select(*name, "runs"), "suffix-runs")
     release(spark, distinct)
     forget_shuffles(spark)
-    places = pieces.join(big, "code", "left_anti").select(*name, "id", "mark", "at")
-    single = pieces.join(big, "code").select("piece", "id", "mark", "at", starts).select(string, "id", "mark", (F.col("at") + F.col("k")).alias("at"))
-    runs = places.union(single.select(*name, "id", "mark", "at")).join(verdict, ["h", "g"]).select("id", "mark", "at", F.explode("runs").alias("r")).where("r.low < id")
+    places = pieces.join(big, "code", "left_anti").select(*name, "places", F.lit(0).alias("k"))
+    single = pieces.join(big, "code").select("piece", "places", starts).select(string, "places", "k")
+    runs = places.union(single.select(*name, "places", "k")).join(verdict, ["h", "g"]).select("runs", "k", F.explode("places").alias("p")).select("p.id", "p.mark", (F.col("p.at") + F.col("k")).alias("at"), F.explode("runs").alias("r")).where("r.low < id")
     spans = runs.select("id", "mark", (F.col("at") + F.col("r.first")).alias("a"), (F.col("at") + F.col("r.last") + WIDTH).alias("b")).union(copies)
     spans = cut(spans.groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-spans")
     release(spark, pieces, verdict, big, copies)
     forget_shuffles(spark)
+    bound_batches(spark)
+    spark.conf.set(BATCH_BYTES, before)
     out = rows.join(spans, ["id", "mark"], "left").select("doc", "text", "spans").mapInArrow(_cut_out, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start int, end int>>")
     return out.withColumnRenamed("doc", id_col)
