@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, forget_shuffles, ranges, release, sliced, texts
+from .common import bound_batches, cut, forget_shuffles, ranges, release, sliced, texts, tidy
 
 WIDTH = 50
 GRAM = 26
@@ -53,6 +53,24 @@ _KEPT: dict[np.uint64, np.ndarray] = {}
 _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before; the first does."""
+    new = np.empty(len(columns[0]), bool)
+    new[:1] = True
+    np.not_equal(columns[0][1:], columns[0][:-1], out=new[1:])
+    for column in columns[1:]:
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
+def widths(starts: np.ndarray, end: int) -> np.ndarray:
+    """From each start to the next, the last to ``end``."""
+    out = np.empty(len(starts), np.int64)
+    np.subtract(starts[1:], starts[:-1], out=out[:-1])
+    out[-1:] = end - starts[-1:]
+    return out
+
+
 def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Suffix arrays of ``symbols[bounds[k]:bounds[k + 1]]``, end to end, all built side by side.
 
@@ -61,8 +79,8 @@ def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     n = len(symbols)
     problem = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     order = np.lexsort((symbols, problem))
-    fresh = np.flatnonzero(np.r_[True, (np.diff(symbols[order]) != 0) | (np.diff(problem[order]) != 0)])
-    sizes = np.diff(np.r_[fresh, n])
+    fresh = changes(symbols[order], problem[order])
+    sizes = widths(fresh, n)
     group, size, slot = np.empty(n + 1, np.int64), np.zeros(n + 1, np.int64), np.empty(n, np.int64)
     group[order], group[n] = np.repeat(fresh, sizes), -1
     size[fresh] = sizes
@@ -88,14 +106,16 @@ def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             todo = todo[up]
             before[members[todo]] = before[at[up]]
         smaller = before[members]
-        found, times = np.unique(smaller[smaller < n], return_counts=True)
+        found = np.sort(smaller[smaller < n])
         if not len(found):
             continue
+        first = changes(found)
+        times, found = widths(first, len(found)), found[first]
         old = group[found]
         by = np.lexsort((times, old))
         found, old, times = found[by], old[by], times[by]
-        first = np.flatnonzero(np.r_[True, np.diff(old) != 0])
-        count = np.diff(np.r_[first, len(found)])
+        first = changes(old)
+        count = widths(first, len(found))
         tail = old[first] + size[old[first]] - count
         slots = ranges(tail, count)
         hit[found] = True
@@ -106,8 +126,8 @@ def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         order[freed], slot[stay] = stay, freed
         order[slots], slot[found] = found, slots
         hit[found] = False
-        runs = np.flatnonzero(np.r_[True, (np.diff(old) != 0) | (np.diff(times) != 0)])
-        lengths = np.diff(np.r_[runs, len(found)])
+        runs = changes(old, times)
+        lengths = widths(runs, len(found))
         size[old[first]] -= count
         size[slots[runs]] = lengths
         group[found] = np.repeat(slots[runs], lengths)
@@ -121,7 +141,9 @@ def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         todo = todo[up]
         after[todo] = after[at[up]]
     rank = np.full(n + 1, -1)
-    heads = np.unique(group[:n])
+    lead = np.zeros(n, bool)
+    lead[group[:n]] = True
+    heads = np.flatnonzero(lead)
     single = order[heads[size[heads] == 1]]
     rank[single] = group[single]
     heads = heads[size[heads] > 1]
@@ -296,10 +318,10 @@ def decide(rows: list[tuple]) -> pa.RecordBatch:
     order = order[stop[text[order]] - 1 - order >= WIDTH]
     same = code[text[order][1:]] == code[text[order][:-1]]
     near = np.flatnonzero(same)
-    for k in range(0, len(near), 1 << 16):
-        part = near[k : k + (1 << 16)]
-        reach = np.arange(WIDTH)
-        same[part] = (symbols[order[part][:, None] + reach] == symbols[order[part + 1][:, None] + reach]).all(axis=1)
+    strings = np.lib.stride_tricks.sliding_window_view(symbols.astype(np.uint16), WIDTH)
+    for k in range(0, len(near), 1 << 15):
+        part = near[k : k + (1 << 15)]
+        same[part] = (strings[order[part]] == strings[order[part + 1]]).all(axis=1)
     run = np.flatnonzero(np.r_[True, ~same])
     least = np.repeat(np.minimum.reduceat(low[text[order]], run), np.diff(np.r_[run, len(order)]))
     by = np.argsort(order)
@@ -359,16 +381,16 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     least = known.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     copies = cut(known.join(least, "digest").where("id > least").select("id", "mark", F.lit(0).alias("a"), "b").distinct(), "suffix-copies")
     left = long.select("id", "mark", "text").join(copies.select("id", "mark"), ["id", "mark"], "left_anti")
-    chunks = left.mapInArrow(_pack, "ids array<long>, marks array<long>, texts array<binary>")
-    chunks = cut(chunks.select(F.monotonically_increasing_id().alias("chunk"), "*"), "suffix-chunks")
+    chunks = left.mapInArrow(tidy(_pack), "ids array<long>, marks array<long>, texts array<binary>")
+    chunks = cut(chunks.select(F.monotonically_increasing_id().alias("chunk"), "*"), "suffix-chunks", "zstd")
     forget_shuffles(spark)
 
     # anchors that several documents have: an anchor travels once for each chunk, as hash and tag
-    tags = chunks.select("chunk", "texts").mapInArrow(_codes, "code long, tag long")
-    shared = cut(tags.repartition("code").sortWithinPartitions("code").mapInArrow(_meet, "chunk long, code long"), "suffix-shared")
+    tags = chunks.select("chunk", "texts").mapInArrow(tidy(_codes), "code long, tag long")
+    shared = cut(tags.repartition("code").sortWithinPartitions("code").mapInArrow(tidy(_meet), "chunk long, code long"), "suffix-shared")
     forget_shuffles(spark)
     wanted = shared.groupBy("chunk").agg(F.collect_list("code").alias("codes"))
-    pieces = cut(chunks.join(wanted, "chunk").select("ids", "marks", "texts", "codes").mapInArrow(_pieces, f"code long, piece binary, low long, high long, places {PLACES}"), "suffix-pieces")
+    pieces = cut(chunks.join(wanted, "chunk").select("ids", "marks", "texts", "codes").mapInArrow(tidy(_pieces), f"code long, piece binary, low long, high long, places {PLACES}"), "suffix-pieces", "zstd")
     release(spark, chunks, shared)
     forget_shuffles(spark)
 
@@ -378,7 +400,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     string = F.expr(f"substring(piece, k + 1, {WIDTH})").alias("piece")
     refiled = distinct.join(big, "code").select("piece", "low", "high", starts).select(string, "low", "high").groupBy("piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     groups = distinct.join(big, "code", "left_anti").select("code", "piece", "low", "high").union(refiled.select(F.xxhash64("piece"), "piece", "low", "high"))
-    verdict = groups.repartition("code").sortWithinPartitions("code").mapInArrow(_owners, "code long, piece binary, runs array<struct<first int, last int, low long>>")
+    verdict = groups.repartition("code").sortWithinPartitions("code").mapInArrow(tidy(_owners), "code long, piece binary, runs array<struct<first int, last int, low long>>")
     # 128 bits stand for a stretch on the way back to its places
     name = [F.xxhash64("piece").alias("h"), F.xxhash64(F.lit(WIDTH), "piece").alias("g")]
     verdict = cut(verdict.where(F.size("runs") > 0).select(*name, "runs"), "suffix-runs")
@@ -393,5 +415,5 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     forget_shuffles(spark)
     bound_batches(spark)
     spark.conf.set(BATCH_BYTES, before)
-    out = rows.join(spans, ["id", "mark"], "left").select("doc", "text", "spans").mapInArrow(_cut_out, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start int, end int>>")
+    out = rows.join(spans, ["id", "mark"], "left").select("doc", "text", "spans").mapInArrow(tidy(_cut_out), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start int, end int>>")
     return out.withColumnRenamed("doc", id_col)
