@@ -78,3 +78,17 @@ def test_a_hash_may_collide(spark, make_docs, monkeypatch):
 def test_empty(spark, make_docs):
     assert run(make_docs([])) == []
     assert run(make_docs([(1, None), (2, "short")])) == brute([(1, None), (2, "short")])
+
+
+def test_codes_meet_across_batches():
+    import itertools
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(40), 2 * chunk + (rng.random() < 0.05)) for chunk in range(60))
+    want = sorted((t >> 1, c) for c, g in itertools.groupby(rows, key=lambda r: r[0]) for g in [list(g)] for _, t in g if len(g) > 1 or t & 1)
+    for size in (1, 2, 3, 60):
+        batches = [pa.RecordBatch.from_pydict({"code": [r[0] for r in rows[k : k + size]], "tag": [r[1] for r in rows[k : k + size]]}) for k in range(0, len(rows), size)]
+        got = [(r["chunk"], r["code"]) for b in op._meet(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == want
