@@ -44,6 +44,20 @@ ALLOWED = [
     ["PROXIMITY", "LOG_DISTANCE", "RSSI_RATIO", "WEIGHTED_CENTROID", "TRILATERATION"],
     ALGORITHMS,
 ]
+#: P-18, fixed values: what is said of an algorithm. By number of access points (1, 2, 3, 4 or more) where it is allowed.
+VALID_REASONS = ["Valid for single AP", "Valid for two APs", "Valid for three APs", "Valid for 4+ APs"]
+MODEL_REASON = "Valid for single AP with path loss model"
+FEW_REASON = "DISQUALIFIED (insufficient APs)"
+LEAST_REASONS = {"TRILATERATION": "DISQUALIFIED (requires at least 3 APs)", "MAXIMUM_LIKELIHOOD": "DISQUALIFIED (requires at least 4 APS)"}
+ONLY_REASON = "Only viable algorithm for extremely weak signals"
+WEAK_REASON = "DISQUALIFIED (signal too weak)"
+LINE_REASON = "DISQUALIFIED (collinear APs)"
+POOR_REASON = "DISQUALIFIED (poor geometry)"
+CHOSEN_REASON = "SELECTED. Weight Calculation: "
+BELOW_REASON = "DISQUALIFIED  (below threshold %.2f) . Weight Calculation: "
+TOP_TWO_REASON = "DISQUALIFIED (not in top 2 High Confidence). Weight Calculation: "
+TOP_THREE_REASON = "DISQUALIFIED (not in top 3 below High Confidence). Weight Calculation: "
+WEIGHT_REASON = "Weight=%.2f: base(%.2f) × signal(%.2f) × geometric(%.2f) × distribution(%.2f)"
 SIGNALS = ["STRONG", "MEDIUM", "WEAK", "VERY_WEAK"]
 GEOMETRIES = ["EXCELLENT", "GOOD", "FAIR", "POOR", "COLLINEAR"]
 DISTRIBUTIONS = ["UNIFORM", "MIXED", "OUTLIERS"]
@@ -258,11 +272,15 @@ def eligible(name: str) -> Column:
     return F.when(weak, F.lit(name == "PROXIMITY")).otherwise(fits)
 
 
+def factors(name: str) -> list[Column]:
+    """P-15: base weight by number of access points, then the factors by signal, geometry and distribution."""
+    base, signal, geometry, spread, _ = WEIGHTS[name]
+    return [_pick(ap_count_class(F.col("n_aps")), [1, 2, 3, 4], base), _pick(F.col("signal"), SIGNALS, signal), _pick(F.col("geometry"), GEOMETRIES, geometry), _pick(F.col("distribution"), DISTRIBUTIONS, spread)]
+
+
 def weight(name: str) -> Column:
     """P-15."""
-    base, signal, geometry, spread, _ = WEIGHTS[name]
-    out = _pick(ap_count_class(F.col("n_aps")), [1, 2, 3, 4], base) * _pick(F.col("signal"), SIGNALS, signal) * _pick(F.col("geometry"), GEOMETRIES, geometry) * _pick(F.col("distribution"), DISTRIBUTIONS, spread)
-    return F.round(out, 12)
+    return F.round(reduce(lambda a, b: a * b, factors(name)), 12)
 
 
 def with_selection(req: DataFrame, threshold: float = 0.4) -> DataFrame:
@@ -277,22 +295,42 @@ def with_selection(req: DataFrame, threshold: float = 0.4) -> DataFrame:
     return settled(req.withColumn("selected", F.slice("_over", 1, most)).drop("_over"))
 
 
+def _first_reason(name: str) -> Column:
+    """P-18: what the signal, else the number of access points, says of an algorithm."""
+    by_count = []
+    for i, names in enumerate(ALLOWED):
+        if name in names:
+            by_count.append(MODEL_REASON if (i, name) == (0, "LOG_DISTANCE") else VALID_REASONS[i])
+        else:
+            by_count.append(FEW_REASON if i == 0 else LEAST_REASONS[name])
+    at = ap_count_class(F.col("n_aps"))
+    said = reduce(lambda c, nv: c.when(at == nv[0], nv[1]), zip([1, 2, 3], by_count), F.when(F.lit(False), ""))
+    return F.when(F.col("signal") == "VERY_WEAK", ONLY_REASON if name == "PROXIMITY" else WEAK_REASON).otherwise(said.otherwise(by_count[3]))
+
+
 def reasons(name: str, threshold: float = 0.4) -> Column:
-    """P-18: why an algorithm is or is not selected, of this request alone."""
-    own = F.filter("candidates", lambda c: c["algorithm"] == name)
+    """P-18: all that was said of an algorithm, in order, of this request alone. Needs the columns of ``with_selection``."""
+    own = F.exists("candidates", lambda c: c["algorithm"] == name)
     chosen = F.exists("selected", lambda c: c["algorithm"] == name)
-    w = F.get(own, F.lit(0))["weight"]
-    said = F.concat(F.lit("weight "), F.format_string("%.2f", w))
-    few = {"TRILATERATION": 3, "MAXIMUM_LIKELIHOOD": 4}.get(name, 2)
-    return (
-        F.when(chosen, F.concat(F.lit("SELECTED. "), said))
-        .when((F.size(own) > 0) & (w < threshold), F.concat(F.lit("DISQUALIFIED (below threshold "), F.format_string("%.2f", F.lit(threshold)), F.lit("). "), said))
-        .when(F.size(own) > 0, F.concat(F.lit("DISQUALIFIED (not among the best). "), said))
-        .when(F.col("signal") == "VERY_WEAK", "DISQUALIFIED (signal too weak)")
-        .when(F.col("n_aps") < few, F.lit(f"DISQUALIFIED (requires at least {few} APs)"))
-        .when(F.col("geometry") == "COLLINEAR", "DISQUALIFIED (collinear APs)")
-        .otherwise("DISQUALIFIED (poor geometry)")
+    held = F.filter("candidates", lambda c: c["algorithm"] == name)
+    top = F.array_max(F.transform("candidates", lambda c: c["weight"]))
+    shape = F.when((F.col("signal") != "VERY_WEAK") & ~own, F.when(F.col("geometry") == "COLLINEAR", LINE_REASON).when(F.col("geometry") == "POOR", POOR_REASON))
+    parts = factors(name)
+    numbers = F.format_string(WEIGHT_REASON, reduce(lambda a, b: a * b, parts), *parts)
+    below = (F.size("candidates") > 1) & (F.get(held, F.lit(0))["weight"] < threshold)
+    verdict = (
+        F.when(chosen, F.lit(CHOSEN_REASON))
+        .when(below, F.format_string(BELOW_REASON, F.lit(threshold)))
+        .when(top > 0.8, F.lit(TOP_TWO_REASON))
+        .otherwise(F.lit(TOP_THREE_REASON))
     )
+    return F.array_compact(F.array(_first_reason(name), shape, F.when(own, F.concat(verdict, numbers))))
+
+
+def with_reasons(req: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """P-18: adds ``reasons``, for each algorithm its name, whether it is selected and all that was said of it."""
+    each = [F.struct(F.lit(n).alias("algorithm"), F.exists("selected", lambda c: c["algorithm"] == n).alias("chosen"), reasons(n, threshold).alias("reasons")) for n in ALGORITHMS]
+    return req.withColumn("reasons", F.array(*each))
 
 
 def proximity(aps: Column) -> Column:

@@ -449,11 +449,36 @@ def p17(spark, sf_dir):
     return out.select("request_id", F.explode("selected").alias("c")).select("request_id", "c.algorithm", F.round("c.weight", 6).alias("weight"))
 
 
-@query("P18_reasons", f"with {_SEL} select request_id, count(*) filter (where algorithm = 'PROXIMITY') > 0 as proximity_selected from sel group by request_id")
+def _reasons_sql() -> str:
+    """All that is said of each algorithm of each request, joined by a bar."""
+    two = lambda x: f"cast(round(cast(cast({x} as varchar) as decimal(30, 20)), 2) as varchar)"
+    pick = lambda c, names, values: f"case {c} " + " ".join(f"when {n!r} then {v}::double" for n, v in zip(names, values)) + " end"
+    parts = []
+    for name in positioning.ALGORITHMS:
+        base, signal, geometry, spread, _ = positioning.WEIGHTS[name]
+        few = {"TRILATERATION": "DISQUALIFIED (requires at least 3 APs)", "MAXIMUM_LIKELIHOOD": "DISQUALIFIED (requires at least 4 APS)"}.get(name)
+        one = {"PROXIMITY": "Valid for single AP", "LOG_DISTANCE": "Valid for single AP with path loss model"}.get(name, "DISQUALIFIED (insufficient APs)")
+        three = few if name == "MAXIMUM_LIKELIHOOD" else "Valid for three APs"
+        weak = "Only viable algorithm for extremely weak signals" if name == "PROXIMITY" else "DISQUALIFIED (signal too weak)"
+        f = f"select request_id, signal, geometry, least(n, 4) as n, {pick('least(n, 4)', [1, 2, 3, 4], base)} as b, {pick('signal', positioning.SIGNALS, signal)} as s, {pick('geometry', positioning.GEOMETRIES, geometry)} as g, {pick('distribution', positioning.DISTRIBUTIONS, spread)} as d from ctx"
+        parts.append(
+            f"""select f.request_id, '{name}' as algorithm, sel.algorithm is not null as chosen, concat_ws(' | ',
+  case when signal = 'VERY_WEAK' then '{weak}' when f.n = 1 then '{one}' when f.n = 2 then '{few or "Valid for two APs"}' when f.n = 3 then '{three}' else 'Valid for 4+ APs' end,
+  case when signal <> 'VERY_WEAK' and cnt.algorithm is null and geometry in ('COLLINEAR', 'POOR') then case geometry when 'POOR' then 'DISQUALIFIED (poor geometry)' else 'DISQUALIFIED (collinear APs)' end end,
+  case when cnt.algorithm is not null then case when sel.algorithm is not null then 'SELECTED' when cnt.weight < 0.4 then 'DISQUALIFIED  (below threshold 0.40) ' when best.top > 0.8 then 'DISQUALIFIED (not in top 2 High Confidence)' else 'DISQUALIFIED (not in top 3 below High Confidence)' end
+    || '. Weight Calculation: Weight=' || {two('b * s * g * d')} || ': base(' || {two('b')} || ') × signal(' || {two('s')} || ') × geometric(' || {two('g')} || ') × distribution(' || {two('d')} || ')' end) as reasons
+from ({f}) f left join cnt on cnt.request_id = f.request_id and cnt.algorithm = '{name}' left join sel on sel.request_id = f.request_id and sel.algorithm = '{name}'
+left join (select request_id, max(weight) as top from cand group by request_id) best on best.request_id = f.request_id"""
+        )
+    return " union all ".join(parts)
+
+
+@query("P18_reasons", f"with {_SEL} {_reasons_sql()}")
 def p18(spark, sf_dir):
-    """P-18."""
-    out = positioning.with_selection(positioning.with_context(_requests(spark, sf_dir)))
-    return out.select("request_id", positioning.reasons("PROXIMITY").startswith("SELECTED").alias("proximity_selected"))
+    """P-18: the whole texts, of all algorithms."""
+    out = positioning.with_reasons(positioning.with_selection(positioning.with_context(_requests(spark, sf_dir))))
+    out = out.select("request_id", F.explode("reasons").alias("r"))
+    return out.select("request_id", "r.algorithm", "r.chosen", F.array_join("r.reasons", " | ").alias("reasons"))
 
 
 def _estimate(spark, sf_dir, estimator) -> DataFrame:

@@ -56,3 +56,23 @@ def test_selection_and_estimates_survive_requests_without_access_points(spark):
     assert weights == sorted(weights, reverse=True) and 1 <= len(weights) <= 3
     assert all(math.isfinite(e.position.latitude) for e in got[3].estimates)
     assert abs(got[3].trilateration.latitude - 37.7) < 0.01
+
+
+def test_reasons_of_the_recorded_request_of_two_access_points(spark):
+    ctx = [(2, "MEDIUM", "POOR", "UNIFORM"), (1, "STRONG", "POOR", "UNIFORM"), (4, "STRONG", "COLLINEAR", "MIXED"), (3, "VERY_WEAK", "GOOD", "MIXED")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(ctx)], "id int, n_aps int, signal string, geometry string, distribution string")
+    got = {r.id: {x.algorithm: (x.chosen, x.reasons) for x in r.reasons} for r in op.with_reasons(op.with_selection(df)).collect()}
+    numbers = ". Weight Calculation: Weight={}: base({}) × signal({}) × geometric({}) × distribution({})"
+    assert got[0] == {
+        "WEIGHTED_CENTROID": (True, ["Valid for two APs", "SELECTED" + numbers.format("1.04", "0.80", "1.00", "1.30", "1.00")]),
+        "RSSI_RATIO": (True, ["Valid for two APs", "SELECTED" + numbers.format("0.86", "1.00", "0.90", "0.80", "1.20")]),
+        "TRILATERATION": (False, ["DISQUALIFIED (requires at least 3 APs)", "DISQUALIFIED (poor geometry)"]),
+        "MAXIMUM_LIKELIHOOD": (False, ["DISQUALIFIED (requires at least 4 APS)", "DISQUALIFIED (poor geometry)"]),
+        "PROXIMITY": (False, ["Valid for two APs", "DISQUALIFIED  (below threshold 0.40) " + numbers.format("0.28", "0.40", "0.70", "1.00", "1.00")]),
+        "LOG_DISTANCE": (False, ["Valid for two APs", "DISQUALIFIED  (below threshold 0.40) " + numbers.format("0.31", "0.50", "0.80", "0.70", "1.10")]),
+    }
+    assert got[1]["RSSI_RATIO"][1] == ["DISQUALIFIED (insufficient APs)", "DISQUALIFIED (poor geometry)"]
+    assert got[1]["LOG_DISTANCE"][1][0] == "Valid for single AP with path loss model"
+    assert got[2]["TRILATERATION"][1] == ["Valid for 4+ APs", "DISQUALIFIED (collinear APs)"]
+    assert sum(chosen for chosen, _ in got[2].values()) == 2 and any("(not in top 2 High Confidence)" in said[-1] for _, said in got[2].values())
+    assert got[3]["PROXIMITY"][1][0] == "Only viable algorithm for extremely weak signals" and got[3]["LOG_DISTANCE"] == (False, ["DISQUALIFIED (signal too weak)"])
