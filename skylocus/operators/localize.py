@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylocus.functions.wifi import clamp, haversine_m
+from skylocus.recovery import cut
 
 #: Rows of one access point that one task handles in the per-access-point numeric operators; a larger one is dealt over blocks, with the same result.
 BLOCK_ROWS = 5_000
@@ -58,8 +59,6 @@ def neighbour_stability(m: DataFrame, batch: str = "processing_batch_id") -> Dat
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    from skylocus.llm.common import cut
-
     return cut(df, "localize")
 
 
