@@ -837,20 +837,46 @@ def l05(spark, sf_dir):
     return localize.hotspot_spread(h.measurements(spark, sf_dir))
 
 
-@query("L05_neighbour_stability")
+@query(
+    "L05_neighbour_stability",
+    _M.rstrip()
+    + """, b as (select strftime(ingestion_timestamp, '%Y%m%d%H') as h, list(distinct bssid) as seen from m group by 1),
+    r as (select bssid, strftime(ingestion_timestamp, '%Y%m%d%H') as h, min(measurement_timestamp) as ts from m group by 1, 2),
+    near as (select bssid, ts, h, list_filter(seen, lambda x: x <> bssid) as near from r join b using (h)),
+    was as (select bssid, near, lag(near) over (partition by bssid order by ts, h) as was from near),
+    j as (select bssid, len(list_intersect(near, was)) as alike, len(near) + len(was) as all_ from was where was is not null)
+    select bssid, count(*) as n, round(avg(case when all_ = 0 then 1e0 else alike::double / (all_ - alike) end), 6) as stability from j group by bssid""",
+)
 def l05b(spark, sf_dir):
     """L-05: batches are hours."""
     m = h.measurements(spark, sf_dir).withColumn("processing_batch_id", F.date_format("ingestion_timestamp", "yyyyMMddHH"))
     return localize.neighbour_stability(m)
 
 
-@query("L06_relocation")
+def _cusum_sql() -> str:
+    """The two-sided cumulative sums of both coordinates in time order."""
+    order = "partition by bssid order by measurement_timestamp, event_id rows unbounded preceding"
+    sides = [(c, sign) for c in ("latitude", "longitude") for sign in ("", "-")]
+    z = ", ".join(f"coalesce(({c} - avg({c}) over (partition by bssid)) / nullif(stddev_pop({c}) over (partition by bssid), 0), 0) as z_{c}" for c in ("latitude", "longitude"))
+    x = ", ".join(f"sum({sign}z_{c} - 0.5e0) over ({order}) as x{i}" for i, (c, sign) in enumerate(sides))
+    top = ", ".join(f"x{i} - least(0, min(x{i}) over ({order}))" for i in range(4))
+    return f", z as (select bssid, event_id, measurement_timestamp, {z} from m), x as (select *, {x} from z), s as (select bssid, measurement_timestamp, greatest({top}) as top from x) select bssid, count(*) as n, round(max(top), 6) as max_cusum, min(measurement_timestamp) filter (where top > 5) as moved_at from s group by bssid"
+
+
+@query("L06_relocation", _M.rstrip() + _cusum_sql())
 def l06(spark, sf_dir):
     """L-06."""
     return localize.relocation(h.measurements(spark, sf_dir))
 
 
-@query("L07_smooth_rssi")
+@query(
+    "L07_smooth_rssi",
+    _M.replace("with ", "with recursive ", 1).rstrip()
+    + """, o as (select bssid, event_id, measurement_timestamp, rssi::double as rssi, 9 * (1 + 1 / (1 + exp((rssi + 75) / 5e0))) as r, row_number() over (partition by bssid order by measurement_timestamp, event_id) as i from m where rssi is not null and bssid is not null),
+    f as (select bssid, event_id, measurement_timestamp, rssi, i, rssi as x, r as p from o where i = 1
+    union all select o.bssid, o.event_id, o.measurement_timestamp, o.rssi, o.i, f.x + (f.p + 1) / (f.p + 1 + o.r) * (o.rssi - f.x), (1 - (f.p + 1) / (f.p + 1 + o.r)) * (f.p + 1) from f join o on o.bssid = f.bssid and o.i = f.i + 1)
+    select bssid, event_id, measurement_timestamp, rssi, round(x, 6) as rssi_smooth from f""",
+)
 def l07(spark, sf_dir):
     """L-07."""
     return localize.smooth_rssi(h.measurements(spark, sf_dir)).withColumn("rssi_smooth", F.round("rssi_smooth", 6))
