@@ -66,7 +66,14 @@ def i05(spark, sf_dir):
     return codec.count_batches(h.events(spark, sf_dir).select("event_id", "event_type", "ts"), ["ts", "event_id"], "event_type", 50).select("event_id", "event_type", "batch")
 
 
-@query("I05_I12_greedy_batches")
+@query(
+    "I05_I12_greedy_batches",
+    """with recursive o as (select event_id, event_type, props, strlen(props) as b, row_number() over (partition by event_type order by event_id) as i from events where strlen(props) <= 1024),
+    f as (select event_id, event_type, props, i, 0::bigint as batch, 1 as n, b as held from o where i = 1
+    union all select o.event_id, o.event_type, o.props, o.i, case when f.n >= 500 or f.held + o.b > 4096 then f.batch + 1 else f.batch end, case when f.n >= 500 or f.held + o.b > 4096 then 1 else f.n + 1 end, case when f.n >= 500 or f.held + o.b > 4096 then o.b else f.held + o.b end
+    from f join o on o.event_type = f.event_type and o.i = f.i + 1)
+    select event_id, event_type, props, batch from f""",
+)
 def i05_greedy(spark, sf_dir):
     """I-05, I-12 by count and bytes."""
     from skylocus.config import BatchLimits
