@@ -300,3 +300,37 @@ def test_few_and_many_members_are_compared_alike():
             want = set(zip(*(x.tolist() for x in op._block(part, nearest))))
             got = set(zip(*(x.tolist() for x in op._small(part, np.array([0]), np.array([len(part)]), nearest))))
             assert got == want
+
+
+def test_counts_of_two_words_never_cut():
+    rng = random.Random(13)
+    for _ in range(300):
+        a = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(5, 70))]
+        b = edited(rng, a, rng.random() * 0.5) or ["x"]
+        x, y = (np.frombuffer(op.doubled(hashed(t)), np.uint8) for t in (a, b))
+        assert 2 * len(a) < len(x) <= 4 * len(a) and op.difference(x, y) == op.difference(y, x) <= 4 * distance(a, b)
+    x, y = (np.frombuffer(op.doubled(hashed(t)), np.uint8) for t in ([], ["a"]))
+    assert op.difference(x, y) <= 4
+
+
+def test_texts_that_cannot_be_alike_are_not_fetched(spark, make_docs, monkeypatch):
+    """Texts of the same words in another order share a passage, so buckets; before, all were written and sent once for each pair."""
+    rng = random.Random(14)
+    passage, words = [f"p{i}" for i in range(50)], [f"w{i}" for i in range(150)]
+    texts = [passage + rng.sample(words, len(words)) for _ in range(40)]
+    texts.append([*texts[7][:-10], *(f"n{i}" for i in range(10))])
+    assert sum(bool(buckets_of(texts[0]) & buckets_of(t)) for t in texts) > 30
+    held, cut = [], op.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        held.extend([out.count()] if name == "omh-held" else [])
+        return out
+
+    monkeypatch.setattr(op, "cut", counted)
+    for groups in (1, 7):
+        held.clear()
+        monkeypatch.setattr(op, "GROUPS", groups, raising=False)
+        got = {r.doc_id: r.class_id for r in op.classes(make_docs([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+        assert got == {i: 7 if i == 40 else i for i in range(41)}
+        assert held and sum(held) == 2
