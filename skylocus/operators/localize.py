@@ -14,6 +14,8 @@ from skylocus.recovery import cut
 
 #: Rows of one access point that one task handles in the per-access-point numeric operators; a larger one is dealt over blocks, with the same result.
 BLOCK_ROWS = 5_000
+#: Pairs of batches of one access point that cost as much as one member of a batch sought in another, and pairs of batches that are broadcast.
+PAIRS_A_MEMBER, BROADCAST_PAIRS = 8, 1_000_000
 
 
 def maturity(n: Column, goodness: Column) -> Column:
@@ -47,15 +49,30 @@ def hotspot_spread(m: DataFrame, least: int = 5, metres: float = 200.0) -> DataF
 
 
 def neighbour_stability(m: DataFrame, batch: str = "processing_batch_id") -> DataFrame:
-    """L-05: how alike the neighbours of an access point are from one scan batch to its next: mean Jaccard."""
-    own = m.select("bssid", batch, F.col("measurement_timestamp").alias("ts"))
-    batches = m.groupBy(batch).agg(F.array_sort(F.collect_set("bssid")).alias("seen"))  # one scan holds a bounded number of access points
-    rows = own.groupBy("bssid", batch).agg(F.min("ts").alias("ts")).join(batches, batch)
-    rows = rows.withColumn("near", F.array_remove("seen", F.col("bssid")))
-    last = F.lag("near").over(Window.partitionBy("bssid").orderBy("ts", batch))
-    rows = rows.withColumn("was", last).where("was is not null")
-    union = F.size(F.array_union("near", "was"))
-    return rows.withColumn("j", F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("near", "was")) / union)).groupBy("bssid").agg(F.count("*").alias("n"), F.round(F.avg("j"), 6).alias("stability"))
+    """L-05: how alike the neighbours of an access point are from one scan batch to its next: mean Jaccard.
+
+    The access point is in both batches, so the common neighbours are those common to the batches less itself: they
+    are counted once for each two batches that follow each other somewhere, and no set of neighbours is ever held.
+    """
+    rows = _cut(m.groupBy("bssid", F.col(batch).alias("batch")).agg(F.min("measurement_timestamp").alias("ts")).where("bssid is not null and batch is not null"))
+    steps = rows.withColumn("was", F.lag("batch").over(Window.partitionBy("bssid").orderBy("ts", "batch"))).where("was is not null")
+    steps = _cut(steps.select("bssid", F.least("batch", "was").alias("x"), F.greatest("batch", "was").alias("y")))
+    sizes = rows.groupBy("batch").agg(F.count("*").alias("size"))
+    size = lambda c: sizes.select(F.col("batch").alias(c), F.col("size").alias(f"size_{c}"))
+    met = _cut(steps.select("x", "y").distinct().join(size("x"), "x").join(size("y"), "y"))
+    own = rows.select("bssid", F.col("batch").alias("x"))
+    by_batch = met.agg(F.sum("size_x"), F.count("*")).first()
+    by_point = rows.groupBy("bssid").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
+    if by_point <= PAIRS_A_MEMBER * (by_batch[0] or 0):  # all pairs of batches of an access point: counted where they arise
+        pairs = own.join(own.withColumnRenamed("x", "y"), "bssid").where("x < y")
+        if by_batch[1] <= BROADCAST_PAIRS:
+            pairs = pairs.join(F.broadcast(met.select("x", "y")), ["x", "y"], "left_semi")
+    else:  # the members of a batch, sought in the other
+        pairs = met.select("x", "y").join(own, "x").join(own.withColumnRenamed("x", "y"), ["bssid", "y"])
+    common = F.col("common") - 1
+    union = F.col("size_x") + F.col("size_y") - 2 - common
+    alike = met.join(pairs.groupBy("x", "y").agg(F.count("*").alias("common")), ["x", "y"]).select("x", "y", F.when(union == 0, 1.0).otherwise(common / F.nullif(union, F.lit(0))).alias("j"))
+    return steps.join(alike, ["x", "y"]).groupBy("bssid").agg(F.count("*").alias("n"), F.round(F.avg("j"), 6).alias("stability"))
 
 
 def _cut(df: DataFrame) -> DataFrame:

@@ -32,3 +32,27 @@ def test_blocks_do_not_change_estimates(spark, monkeypatch):
     assert got.keys() == want.keys()
     for b, r in want.items():
         assert got[b].n == r.n and abs(got[b].latitude - r.latitude) < 1e-7 and abs(got[b].longitude - r.longitude) < 1e-7
+
+
+def test_neighbours_are_counted_without_holding_them(spark, monkeypatch):
+    """Both ways of counting equal the sets; no row holds the neighbours of an access point."""
+    rng = random.Random(7)
+    made = [(rng.choice([*"abcdefghij", None]), rng.choice([*(f"t{i}" for i in range(25)), None]), rng.randrange(1000)) for _ in range(160)] + [("x", "y1", 1), ("x", "y2", 2)]
+    m = spark.createDataFrame(made, "bssid string, processing_batch_id string, measurement_timestamp long").repartition(3)
+    seen, first = {}, {}
+    for b, batch, ts in made:
+        if b and batch:
+            seen.setdefault(batch, set()).add(b)
+            first[b, batch] = min(ts, first.get((b, batch), ts))
+    want = {}
+    for b in {b for b, _ in first}:
+        order = [batch for _, batch in sorted((ts, batch) for (o, batch), ts in first.items() if o == b)]
+        pairs = [(seen[x] - {b}, seen[y] - {b}) for x, y in zip(order, order[1:])]
+        if pairs:
+            want[b] = (len(pairs), sum(len(x & y) / len(x | y) if x | y else 1.0 for x, y in pairs) / len(pairs))
+    for cost in (0, 10**6):
+        monkeypatch.setattr(op, "PAIRS_A_MEMBER", cost, raising=False)
+        out = op.neighbour_stability(m)
+        got = {r.bssid: (r.n, r.stability) for r in out.collect()}
+        assert got.keys() == want.keys() and all(got[b][0] == n and abs(got[b][1] - j) < 1e-6 for b, (n, j) in want.items())
+        assert "array_intersect" not in out._jdf.queryExecution().toString()
