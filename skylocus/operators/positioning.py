@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -455,82 +455,100 @@ def trilateration(req: DataFrame) -> DataFrame:
     return req.withColumn("trilateration", found).drop("_o", "_t", "_p", "_r", "_saa", "_sbb", "_sab", "_sac", "_sbc", "_x", "_y", "_g", "_m").transform(settled)
 
 
-def _likelihood(s: np.ndarray, f: np.ndarray, lat: np.ndarray, lon: np.ndarray, alt: np.ndarray, conf: np.ndarray) -> tuple | None:
-    """A-06 for one request: gradient steps in degrees and metres from the loudness-weighted centre."""
-    if not len(s) or np.isnan(conf).any():
-        return None
+def _likelihood(s: np.ndarray, f: np.ndarray, lat: np.ndarray, lon: np.ndarray, alt: np.ndarray, conf: np.ndarray) -> np.ndarray:
+    """A-06 for requests of as many scans each, a row per request: gradient steps in degrees and metres from the loudness-weighted centre. NaN if there is none."""
+    n, known = s.shape[1], ~np.isnan(conf).any(1)
+    found = np.full((len(s), 5), np.nan)
+    if not n or not known.any():
+        return found
+    s, f, lat, lon, alt, conf = (x[known] for x in (s, f, lat, lon, alt, conf))
+    dot = lambda a, b: np.matmul(a[:, None, :], b[:, :, None])[:, 0, 0]
     w = 10 ** (s / 10)
     has = ~np.isnan(alt)
-    at = np.array([w @ lat / w.sum(), w @ lon / w.sum(), w[has] @ alt[has] / w[has].sum() if has.any() else 0.0])
-    z = np.where(has, alt, 0.0)
-    mean = s.mean()
+    z, loud = np.where(has, alt, 0.0), np.where(has, w, 0.0)
+    mean = s.mean(1)
     sigma = np.where(s >= -60, 2.5, np.where(s >= -80, 4.0, 6.0))
     loss = -20 * np.log10(4 * np.pi * f * 1e6 / LIGHT)
+    b = np.radians(lat)
+    scans = (s, lat, lon, z, conf, sigma**2, loss, b, np.cos(b))
+    k = EARTH_M * np.pi / 180
 
-    def distance(p: np.ndarray) -> np.ndarray:
-        a, b = np.radians(p[0]), np.radians(lat)
-        h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon - p[1]) / 2) ** 2
+    def reached(p: np.ndarray, scans: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distances from ``p``, the errors of the signals there, and the likelihood."""
+        s, lat, lon, z, conf, square, loss, b, cos = scans
+        a = np.radians(p[:, :1])
+        h = np.sin((b - a) / 2) ** 2 + np.cos(a) * cos * np.sin(np.radians(lon - p[:, 1:2]) / 2) ** 2
         flat = 2 * EARTH_M * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
-        return np.sqrt(flat**2 + (z - p[2]) ** 2)
-
-    def error(d: np.ndarray) -> np.ndarray:
-        return s - (loss - 30 * np.log10(d))
-
-    def likelihood(p: np.ndarray) -> float:
-        return float((-(error(distance(p)) ** 2) / (2 * sigma**2) * conf).sum())
+        d = np.sqrt(flat**2 + (z - p[:, 2:]) ** 2)
+        e = s - (loss - 30 * np.log10(d))
+        return d, e, (-(e**2) / (2 * square) * conf).sum(1)
 
-    k = EARTH_M * np.pi / 180
     with np.errstate(all="ignore"):
-        north, east, up = (at[0] - lat) * k, (at[1] - lon) * k * np.cos(np.radians(at[0])), at[2] - z
+        at = np.stack([dot(w, lat) / w.sum(1), dot(w, lon) / w.sum(1), np.where(has.any(1), dot(loud, z) / loud.sum(1), 0.0)], 1)
+        north, east, up = (at[:, :1] - lat) * k, (at[:, 1:2] - lon) * k * np.cos(np.radians(at[:, :1])), at[:, 2:] - z
         d = np.sqrt(north**2 + east**2 + up**2)
-        h = np.where((d < 1)[:, None], np.array([1.0, 0.0, 0.0]), np.stack([north, east, up], 1) / np.maximum(d, 1e-300)[:, None])
-        h = np.concatenate([h, np.ones((len(s), 1))], 1)
-        normal = h.T @ h
-        gdop = 30.0
-        if len(s) >= 4 and abs(np.linalg.det(normal)) >= 1e-10:
-            gdop = min(30.0, float(np.sqrt(max(0.0, np.trace(np.linalg.inv(normal))))))
-        g = 1.0 if gdop <= 2 else 1 + 0.25 * (gdop - 2) if gdop <= 4 else 1.5 + 0.25 * (gdop - 4) if gdop <= 6 else min(4.0, 2 + (gdop - 6) / 2)
-        rate, best = 1.0, likelihood(at)
-        for _ in range(100):
-            d = distance(at)
-            pull = error(d) / (sigma**2 * d) * conf
-            step = at + rate * np.array([(pull * (lat - at[0])).sum(), (pull * (lon - at[1])).sum(), (pull * (z - at[2])).sum()])
-            if not (abs(step[0]) <= 90 and abs(step[1]) <= 180):
-                return None
-            got = likelihood(step)
-            if got > best:
-                at, best = step, got
-            else:
-                rate /= 2
-                if rate < 0.1:
-                    break
-    strong = mean >= -60
-    base = 3.0 if strong else 6 + abs(mean + 70) * 0.2
-    once = lambda a: max(1.0, min(25.0, a * (1 + 0.5 * (g - 1)) if strong else a * g))
-    acc = once(base)
-    acc = max(1.0, min(5.0, acc * (1 + 0.5 * (g - 1)))) if strong else min(25.0, acc * g)
-    sf = min(1.0, max(0.0, (mean + 80) / 20 if strong else (mean + 100) / 20))
-    af = min(1.0, max(0.0, (len(s) - 2) / 6))
-    lf = 0.7 if not np.isfinite(best) else min(1.0, max(0.0, (np.exp(best / len(s)) - 0.1) / 0.8))
-    low, high, wa, wl = (0.8, 0.95, 0.3, 0.1) if strong else (0.65, 0.8, 0.25, 0.15) if mean >= -80 else (0.6, 0.65, 0.2, 0.1)
-    sure = (low + (high - low) * (0.7 * sf + wa * af + wl * lf)) * (1 - 0.3 * (1 - 1 / max(1.0, g)))
-    sure = max(0.8, min(0.95, sure)) if strong else min(0.65, sure) if mean < -80 else sure
-    return float(at[0]), float(at[1]), float(at[2]), float(acc), float(sure)
-
-
-@F.pandas_udf(_POSITION)
-def _maximum_likelihood(aps: pd.Series) -> pd.DataFrame:
+        h = np.where((d < 1)[:, :, None], np.array([1.0, 0.0, 0.0]), np.stack([north, east, up], 2) / np.maximum(d, 1e-300)[:, :, None])
+        h = np.concatenate([h, np.ones((*s.shape, 1))], 2)
+        gdop = np.full(len(s), 30.0)
+        if n >= 4:
+            normal = h.transpose(0, 2, 1) @ h
+            firm = np.abs(np.linalg.det(normal)) >= 1e-10
+            gdop[firm] = np.fmin(30.0, np.sqrt(np.fmax(0.0, np.trace(np.linalg.inv(normal[firm]), axis1=1, axis2=2))))
+        g = np.where(gdop <= 2, 1.0, np.where(gdop <= 4, 1 + 0.25 * (gdop - 2), np.where(gdop <= 6, 1.5 + 0.25 * (gdop - 4), np.fmin(4.0, 2 + (gdop - 6) / 2))))
+        out = np.zeros(len(s), bool)
+        rate, live = np.ones(len(s)), np.arange(len(s))
+        d, e, best = reached(at, scans)
+        for _ in range(100):  # those that still move
+            if not len(live):
+                break
+            p, (_, lat, lon, z, conf, square, *_) = at[live], scans
+            pull = e / (square * d) * conf
+            step = p + rate[live][:, None] * np.stack([(pull * (to - p[:, c : c + 1])).sum(1) for c, to in enumerate((lat, lon, z))], 1)
+            out[live] = ~((np.abs(step[:, 0]) <= 90) & (np.abs(step[:, 1]) <= 180))
+            d_next, e_next, got = reached(step, scans)
+            better = (got > best[live]) & ~out[live]
+            at[live[better]], best[live[better]] = step[better], got[better]
+            d, e = np.where(better[:, None], d_next, d), np.where(better[:, None], e_next, e)
+            rate[live[~better]] /= 2
+            stay = ~out[live] & (rate[live] >= 0.1)
+            if not stay.all():
+                live, d, e, scans = live[stay], d[stay], e[stay], tuple(x[stay] for x in scans)
+        strong = mean >= -60
+        base = np.where(strong, 3.0, 6 + np.abs(mean + 70) * 0.2)
+        acc = np.fmax(1.0, np.fmin(25.0, np.where(strong, base * (1 + 0.5 * (g - 1)), base * g)))
+        acc = np.where(strong, np.fmax(1.0, np.fmin(5.0, acc * (1 + 0.5 * (g - 1)))), np.fmin(25.0, acc * g))
+        sf = np.fmin(1.0, np.fmax(0.0, np.where(strong, (mean + 80) / 20, (mean + 100) / 20)))
+        af = min(1.0, max(0.0, (n - 2) / 6))
+        lf = np.where(np.isfinite(best), np.fmin(1.0, np.fmax(0.0, (np.exp(best / n) - 0.1) / 0.8)), 0.7)
+        low, high, wa, wl = (np.where(strong, x, np.where(mean >= -80, y, v)) for x, y, v in zip((0.8, 0.95, 0.3, 0.1), (0.65, 0.8, 0.25, 0.15), (0.6, 0.65, 0.2, 0.1)))
+        sure = (low + (high - low) * (0.7 * sf + wa * af + wl * lf)) * (1 - 0.3 * (1 - 1 / np.fmax(1.0, g)))
+        sure = np.where(strong, np.fmax(0.8, np.fmin(0.95, sure)), np.where(mean < -80, np.fmin(0.65, sure), sure))
+    found[known] = np.where(out[:, None], np.nan, np.concatenate([at, acc[:, None], sure[:, None]], 1))
+    return found
+
+
+def _likelihoods(columns: list[pa.Array]) -> pa.Array:
+    """A-06 for the requests of a batch, those of as many scans at once; ``columns``: s, f, lat, lon, alt and conf of their scans."""
+    size = columns[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = np.cumsum(size) - size
+    flat = [c.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in columns]
+    found = np.full((len(size), 5), np.nan)
+    for n in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == n)
+        at = begin[rows][:, None] + np.arange(n)
+        found[rows] = _likelihood(*(x[at] for x in flat))
     names = ["latitude", "longitude", "altitude", "accuracy", "confidence"]
-    rows = []
-    for own in aps:
-        col = lambda c: np.array([np.nan if a[c] is None else a[c] for a in own], np.float64)
-        rows.append((own is not None and len(own) and _likelihood(*map(col, ("s", "f", "lat", "lon", "alt", "conf")))) or (None,) * 5)
-    return pd.DataFrame(rows, columns=names, dtype="float64")
+    return pa.StructArray.from_arrays([pa.array(found[:, k].copy(), from_pandas=True) for k in range(5)], names)
+
+
+@F.arrow_udf(_POSITION)
+def _maximum_likelihood(s: pa.Array, f: pa.Array, lat: pa.Array, lon: pa.Array, alt: pa.Array, conf: pa.Array) -> pa.Array:
+    return _likelihoods([s, f, lat, lon, alt, conf])
 
 
 def maximum_likelihood(aps: Column) -> Column:
     """A-06: null when it runs out of range or an access point has no confidence."""
-    p = _maximum_likelihood(aps)
+    p = _maximum_likelihood(*(aps[c].cast("array<double>") for c in ("s", "f", "lat", "lon", "alt", "conf")))
     return F.when(p["latitude"].isNotNull(), p)
 
 

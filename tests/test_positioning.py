@@ -1,6 +1,8 @@
 import math
+import random
 import statistics
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from skylocus.operators import positioning as op
@@ -76,3 +78,67 @@ def test_reasons_of_the_recorded_request_of_two_access_points(spark):
     assert got[2]["TRILATERATION"][1] == ["Valid for 4+ APs", "DISQUALIFIED (collinear APs)"]
     assert sum(chosen for chosen, _ in got[2].values()) == 2 and any("(not in top 2 High Confidence)" in said[-1] for _, said in got[2].values())
     assert got[3]["PROXIMITY"][1][0] == "Only viable algorithm for extremely weak signals" and got[3]["LOG_DISTANCE"] == (False, ["DISQUALIFIED (signal too weak)"])
+
+
+def climbed(own):
+    """A-06 by the book: the position of one request, climbed step by step in plain numbers, or None."""
+    if not own or any(a["conf"] is None for a in own):
+        return None
+    w = [10 ** (a["s"] / 10) for a in own]
+    tall = [(x, a["alt"]) for x, a in zip(w, own) if a["alt"] is not None]
+    at = [sum(x * a[c] for x, a in zip(w, own)) / sum(w) for c in ("lat", "lon")]
+    at.append(sum(x * y for x, y in tall) / sum(x for x, _ in tall) if tall else 0.0)
+    z = [a["alt"] or 0.0 for a in own]
+    square = [(2.5 if a["s"] >= -60 else 4.0 if a["s"] >= -80 else 6.0) ** 2 for a in own]
+
+    def terms(p):
+        out = []
+        for a, tz in zip(own, z):
+            x, y = math.radians(p[0]), math.radians(a["lat"])
+            h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(a["lon"] - p[1]) / 2) ** 2
+            d = math.hypot(2 * op.EARTH_M * math.atan2(math.sqrt(h), math.sqrt(1 - h)), tz - p[2])
+            out.append((d, a["s"] + 20 * math.log10(4 * math.pi * a["f"] * 1e6 / op.LIGHT) + 30 * (math.log10(d) if d else -math.inf)))
+        return out, sum(-(e**2) / (2 * q) * a["conf"] for (_, e), q, a in zip(out, square, own))
+
+    rate, (now, best) = 1.0, terms(at)
+    for _ in range(100):
+        if not all(d for d, _ in now):  # on an access point: no way to go
+            return None
+        pull = [e / (q * d) * a["conf"] for (d, e), q, a in zip(now, square, own)]
+        step = [at[c] + rate * sum(g * (to - at[c]) for g, to in zip(pull, goal)) for c, goal in enumerate(([a["lat"] for a in own], [a["lon"] for a in own], z))]
+        if not (abs(step[0]) <= 90 and abs(step[1]) <= 180):
+            return None
+        then, got = terms(step)
+        if got > best:
+            at, now, best = step, then, got
+        else:
+            rate /= 2
+            if rate < 0.1:
+                break
+    return at
+
+
+def test_likelihood_of_many_requests_is_climbed_at_once(spark, monkeypatch):
+    rng, rows = random.Random(6), [(0, None), (1, [])]
+    for i in range(2, 400):
+        own = [scan(k, -30 - 1.4 * rng.randrange(1, 51), 37.7 + rng.random() / 200, -122.4 + rng.random() / 200) for k in range(rng.randrange(1, 9))]
+        own = [a | {"f": rng.choice([2412.0, 5180.0]), "alt": rng.choice([None, 12.5, 20.0]), "conf": rng.choice([0.4, 0.9, 0.9, 0.9])} for a in own]
+        if i % 50 == 0:
+            own[-1]["conf"] = None
+        if i % 60 == 0:
+            own = [a | {"lat": 89.9, "s": -30.0} if k % 2 else a | {"lat": -89.9, "lon": 179.9} for k, a in enumerate(own)]
+        rows.append((i, own))
+    got = {r.id: r.p for r in spark.createDataFrame(rows, APS).select("id", op.maximum_likelihood(F.col("aps")).alias("p")).collect()}
+    want = {i: climbed(own) for i, own in rows}
+    assert {i for i in want if want[i] is None} == {i for i in got if got[i] is None} and len(got) == len(rows)
+    for i, p in got.items():
+        if p is not None:
+            assert (p.latitude, p.longitude, p.altitude) == pytest.approx(tuple(want[i]), abs=1e-6), i
+            assert 1 <= p.accuracy <= 25 and 0 < p.confidence <= 0.95
+
+    calls, one = [], op._likelihood
+    monkeypatch.setattr(op, "_likelihood", lambda *c: calls.append(len(c[0])) or one(*c))
+    columns = [pa.array([own and [a[c] for a in own] for _, own in rows], pa.list_(pa.float64())) for c in ("s", "f", "lat", "lon", "alt", "conf")]
+    found = op._likelihoods(columns).to_pylist()
+    assert len(calls) == len({len(own) for _, own in rows if own}) and sum(calls) == 398
+    assert [x["latitude"] for x in found] == [got[i] and got[i].latitude for i, _ in rows]
