@@ -6,7 +6,8 @@ stale and is skipped. Decoding joins the vocabulary's strings. The file is read
 path that is a parameter; nothing is trained.
 
 The texts of a batch are split together and each distinct piece is looked up once. A worker keeps two
-generations of at most ``CACHE`` pieces; a piece longer than ``LONG`` characters is never kept.
+generations of at most ``CACHE`` pieces until it turns to another operator; a piece longer than ``LONG``
+characters is never kept.
 
 Cases: null text is the empty text (no tokens); an empty table gives an empty result. A batch holds
 ``BYTES`` of text or one document, however long; merging takes O(n log n) in a piece's length. Repeated
@@ -29,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, ranges, sliced, tidy
+from .common import bound_batches, leaves, ranges, sliced, tidy
 
 CACHE = 200_000
 LONG = 64
@@ -182,6 +183,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+leaves(__name__, codec.cache_clear)
+
+
 def _each(path: str, ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = codec(path)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 256
 #: Folders that ``cut`` has made and ``release`` may delete.
 _OWN: set[str] = set()
+#: Of each module whose tasks leave something in the worker for the next ones, how it is forgotten.
+_LEFT: dict[str, Callable[[], None]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,17 +102,36 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -
             at = end
 
 
+def leaves(module: str, forget: Callable[[], None]) -> None:
+    """``module`` keeps things in a worker from task to task; ``forget`` is called when the worker turns to another's tasks."""
+    _LEFT[module] = forget
+
+
+def turn(module: str) -> None:
+    """Forget what tasks of other modules have left in this worker."""
+    others = [forget for owner, forget in _LEFT.items() if owner != module]
+    for forget in others:
+        forget()
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the C library, where it has it
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the worker gives its memory back: workers are used again, also by later stages."""
+    """``run``, before which the worker forgets what other operators keep in it, and after which it gives its memory back: workers are used again, also by later stages."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn(run.__module__)
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the C library, where it has it
-                trim(0)
+            give_back()
 
     return mapped
 

@@ -84,3 +84,17 @@ def test_query_equals_library_on_all_documents(spark, library):
         said = library.decode(ids, skip_special_tokens=False)
         assert (got[r.doc_id].n_tokens, got[r.doc_id].decoded_sha256) == (len(ids), hashlib.sha256(said.encode()).hexdigest())
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_a_worker_forgets_its_pieces_when_it_turns_to_another_operator():
+    import pyarrow as pa
+    from skylocus.llm import order_minhash
+    from skylocus.llm.common import tidy
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words to keep"])], names=["id", "text"])
+    first = next(tidy(bpe._each(tokenizer_path(), True))(iter([batch])))
+    again = list(tidy(bpe._each(tokenizer_path(), True))(iter([batch])))
+    assert bpe.codec.cache_info().currsize == 1 and bpe.codec(tokenizer_path()).young  # kept from task to task
+    list(tidy(order_minhash._sketched)(iter([batch])))
+    assert bpe.codec.cache_info().currsize == 0
+    assert next(tidy(bpe._each(tokenizer_path(), True))(iter([batch]))).equals(first) and again[0].equals(first)
