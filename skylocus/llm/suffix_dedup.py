@@ -78,7 +78,9 @@ def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """
     n = len(symbols)
     problem = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((symbols, problem))
+    # keys of 16 bits are sorted by radix
+    small = [x.astype(np.uint16) if n and 0 <= x.min() and x.max() < 1 << 16 else x for x in (symbols, problem)]
+    order = np.lexsort(small)
     fresh = changes(symbols[order], problem[order])
     sizes = widths(fresh, n)
     group, size, slot = np.empty(n + 1, np.int64), np.zeros(n + 1, np.int64), np.empty(n, np.int64)
@@ -98,13 +100,12 @@ def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         start = group[order[end - 1]]
         top[live] = start
         members = order[ranges(start, end - start)]
-        own = np.repeat(start, end - start)
-        todo = np.arange(len(members))
+        own, todo = np.repeat(start, end - start), members
         while len(todo):  # follow previous-smaller pointers out of this and all higher groups
-            at = before[members[todo]]
-            up = group[at] >= own[todo]
-            todo = todo[up]
-            before[members[todo]] = before[at[up]]
+            at = before[todo]
+            up = group[at] >= own
+            todo, own = todo[up], own[up]
+            before[todo] = before[at[up]]
         smaller = before[members]
         found = np.sort(smaller[smaller < n])
         if not len(found):
@@ -223,10 +224,10 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk, parts in zip(batch.column("chunk").to_pylist(), batch.column("texts")):
             row, code, _, _ = anchors(parts.as_py())
-            by = np.argsort(code, kind="stable")  # rows ascend within a code
+            by = np.argsort(code)
             code, row = code[by], row[by]
-            run = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else by
-            many = row[run] != row[np.r_[run[1:], len(code)] - 1] if len(code) else by
+            run = changes(code)
+            many = np.minimum.reduceat(row, run) != np.maximum.reduceat(row, run) if len(code) else by
             for k in range(0, len(run), 1 << 17):
                 s = slice(k, k + (1 << 17))
                 yield pa.RecordBatch.from_arrays([pa.array(code[run[s]]), pa.array(2 * chunk + many[s].astype(np.int64))], names=["code", "tag"])

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from skylocus.llm import suffix_dedup as op
 
@@ -92,3 +93,27 @@ def test_codes_meet_across_batches():
         batches = [pa.RecordBatch.from_pydict({"code": [r[0] for r in rows[k : k + size]], "tag": [r[1] for r in rows[k : k + size]]}) for k in range(0, len(rows), size)]
         got = [(r["chunk"], r["code"]) for b in op._meet(iter(batches)) for r in b.to_pylist()]
         assert sorted(got) == want
+
+
+def test_the_first_sort_is_by_keys_of_16_bits(monkeypatch):
+    rng, keys, sort = np.random.default_rng(4), [], np.lexsort
+    monkeypatch.setattr(op.np, "lexsort", lambda k: keys.append([x.dtype for x in k]) or sort(k))
+    for top, kind in ((258, np.uint16), (1 << 20, np.int64)):  # larger symbols are sorted as they are
+        parts = [np.r_[rng.integers(1, top, 40), 0] for _ in range(9)]
+        parts[0][0] = top - 1
+        keys.clear()
+        got = op.suffix_array(np.concatenate(parts), np.arange(10) * 41)
+        assert keys[0] == [kind, np.uint16]
+        assert got.tolist() == [41 * p + k for p, x in enumerate(parts) for k in sorted(range(41), key=lambda k: x[k:].tolist())]
+
+
+def test_codes_tell_anchors_of_one_document_from_those_of_several():
+    rng = random.Random(8)
+    parts = ["".join(rng.choices("abcdefgh", k=400)).encode() for _ in range(3)]
+    parts += [parts[0] + parts[0], parts[1][100:300], b"short"]
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([parts], pa.list_(pa.binary()))], names=["chunk", "texts"])
+    out = pa.Table.from_batches(op._codes(iter([batch])))
+    row, code, _, _ = op.anchors(parts)
+    want = {c: 14 + (len(set(row[code == c])) > 1) for c in code.tolist()}
+    assert dict(zip(out.column("code").to_pylist(), out.column("tag").to_pylist())) == want and len(out) == len(want)
+    assert set(want.values()) == {14, 15}
