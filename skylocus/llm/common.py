@@ -116,6 +116,12 @@ def turn(module: str) -> None:
         give_back()
 
 
+def settle() -> None:
+    """Once in a worker: what is there already, its modules above all, is left out of later collections, which else take longer than a small task."""
+    if not gc.get_freeze_count():
+        gc.freeze()
+
+
 def give_back() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -127,6 +133,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     """``run``, before which the worker forgets what other operators keep in it, and after which it gives its memory back: workers are used again, also by later stages."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         turn(run.__module__)
         try:
             yield from run(batches)

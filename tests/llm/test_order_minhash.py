@@ -334,3 +334,47 @@ def test_texts_that_cannot_be_alike_are_not_fetched(spark, make_docs, monkeypatc
         got = {r.doc_id: r.class_id for r in op.classes(make_docs([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
         assert got == {i: 7 if i == 40 else i for i in range(41)}
         assert held and sum(held) == 2
+
+
+def test_strips_change_nothing(monkeypatch):
+    for strip, wide in ((1, 2048), (4, 3)):
+        monkeypatch.setattr(op, "STRIP", strip)
+        monkeypatch.setattr(op, "WIDE", wide)
+        test_few_and_many_members_are_compared_alike()
+
+
+def test_hashes_of_words_never_cut():
+    import pyarrow as pa
+
+    rng = random.Random(15)
+    said = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(5, 70))] for _ in range(60)]
+    said += [edited(rng, said[i % 60], rng.random() * 0.4) or ["x"] for i in range(240)]
+    held = pa.table({"node": range(300), "said": pa.array([hashed(t).astype(np.uint32).tobytes() for t in said], pa.binary())})
+    pairs = [(i % 60, i) for i in range(60, 300)] + [(0, i) for i in range(1, 60)]
+    alike = {(a, b) for a, b in pairs if op.alike(said[a], said[b])}
+    assert 30 < len(alike) < 210
+    for aligned in (False, True):
+        got = op._near_doubled(pa.table({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}), held, aligned)
+        got = set(zip(got.column("a").to_pylist(), got.column("b").to_pylist()))
+        assert got == alike if aligned else got >= alike
+
+
+def test_a_long_common_passage_is_not_fetched_for_each_pair(spark, make_docs, monkeypatch):
+    """Texts that share too little beside a passage, or its parts in another order; before, all were fetched and aligned as texts."""
+    rng = random.Random(16)
+    passage, blocks = [f"p{i}" for i in range(120)], [[f"b{i}-{j}" for j in range(15)] for i in range(10)]
+    own = [passage + [f"o{rng.randrange(10**6)}" for _ in range(45)] for _ in range(40)]
+    moved = [sum(rng.sample(blocks, 10), []) for _ in range(40)]
+    held, cut = [], op.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        held.extend([out.count()] if name == "omh-held" else [])
+        return out
+
+    monkeypatch.setattr(op, "cut", counted)
+    for texts, whole in ((own, True), (moved, False)):
+        held.clear()
+        got = {r.doc_id: r.class_id for r in op.classes(make_docs([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+        assert got == {i: i for i in range(40)}
+        assert held[-1] == 0 and not (whole and sum(held))
