@@ -41,6 +41,8 @@ GROUP_TEXTS = 4096
 SORT_BYTES = 1 << 20
 #: Bytes of documents hashed at once, give or take a document.
 HASH_BYTES = 1 << 20
+#: Chunks whose anchors' share of one part is held at once, some 80,000 anchors each, where the shuffle's partitions do not ask for smaller parts.
+PART_CHUNKS = 32
 #: Rows of an Arrow batch of numbers; those of texts are bounded by bytes.
 TABLE_ROWS = 1 << 14
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -233,6 +235,41 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(code[run[s]]), pa.array(2 * chunk + many[s].astype(np.int64))], names=["code", "tag"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The anchors of ``_codes`` dealt to ``parts`` by their codes, as one row for each chunk and part."""
+    for batch in _codes(batches):
+        code, tag = (batch.column(c).to_numpy() for c in ("code", "tag"))
+        part = ((code & 0xFFFFFFFF) * parts >> 32).astype(np.uint16)
+        by = np.argsort(part, kind="stable")
+        ends = np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
+        full = np.flatnonzero(ends[1:] > ends[:-1])
+        at = pa.py_buffer((np.r_[0, ends[full + 1]] * 8).astype(np.int32))
+        columns = [pa.BinaryArray.from_buffers(pa.binary(), len(full), [None, at, pa.py_buffer(x[by])]) for x in (code, tag)]
+        out = pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *columns], names=["part", "codes", "tags"])
+        for k in range(0, out.num_rows, 1 << 10):
+            yield out.slice(k, 1 << 10)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_meet`` of each part; rows come sorted by part."""
+
+    def met(held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        code, tag = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held))
+        by = np.argsort(code)
+        yield from _meet(iter([pa.RecordBatch.from_arrays([pa.array(code[by]), pa.array(tag[by])], names=["code", "tag"])]))
+
+    last, held = None, []
+    for batch in batches:
+        for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "codes", "tags"))):
+            if part != last and held:
+                yield from met(held)
+                held = []
+            last = part
+            held.append(row)
+    if held:
+        yield from met(held)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunk and code of anchors that several documents have; rows come sorted by code, of which one may have any number."""
     last = tag = None  # the code that ended the batch before, and its tag if that stands alone so far
@@ -294,28 +331,29 @@ def decide(rows: list[tuple]) -> pa.RecordBatch:
     Runs that no document of the stretch can lose by, as none has a larger id, are left out. A group of
     one stretch is one run and needs no order.
     """
-    codes = np.array([r[0] for r in rows], np.int64)
-    change = codes[1:] != codes[:-1]
+    code, low, high = (np.fromiter((r[k] for r in rows), np.int64, len(rows)) for k in (0, 2, 3))
+    pieces = pa.array([r[1] for r in rows], pa.binary())
+    length = np.diff(np.frombuffer(pieces.buffers()[1], np.int32)[: len(rows) + 1]).astype(np.int64)
+    change = code[1:] != code[:-1]
     alone = np.r_[True, change] & np.r_[change, True]
-    single = [r for r, one in zip(rows, alone.tolist()) if one]
-    columns = [pa.array([r[0] for r in single], pa.int64()), pa.array([r[1] for r in single], pa.binary()), pa.array([[{"first": 0, "last": len(r[1]) - WIDTH, "low": r[2]}] if r[2] < r[3] else [] for r in single], RUNS)]
-    done = pa.RecordBatch.from_arrays(columns, names=["code", "piece", "runs"])
-    rows = [r for r, one in zip(rows, alone.tolist()) if not one]
-    if not rows:
+    loses = low[alone] < high[alone]
+    fields = [pa.array(np.zeros(loses.sum(), np.int32)), pa.array((length[alone] - WIDTH)[loses], pa.int32()), pa.array(low[alone][loses])]
+    runs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(loses)], pa.int32()), pa.StructArray.from_arrays(fields, ["first", "last", "low"]))
+    done = pa.RecordBatch.from_arrays([pa.array(code[alone]), pieces.filter(pa.array(alone)), runs.cast(RUNS)], names=["code", "piece", "runs"])
+    if alone.all():
         return done
-    code = np.array([r[0] for r in rows], np.int64)
-    low = np.array([r[2] for r in rows], np.int64)
-    length = np.array([len(r[1]) for r in rows], np.int64)
+    pieces = pieces.filter(pa.array(~alone))
+    code, low, high, length = (x[~alone] for x in (code, low, high, length))
     ends = np.flatnonzero(np.r_[np.diff(code) != 0, True])  # the last text of each group
-    mark = np.ones(len(rows), np.int64)
+    mark = np.ones(len(code), np.int64)
     mark[ends] = 0
     stop = np.cumsum(length + 1)
     begin = stop - length - 1
     symbols = np.empty(stop[-1], np.int64)
-    symbols[ranges(begin, length)] = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).astype(np.int64) + 2
+    symbols[ranges(begin, length)] = np.frombuffer(pieces.buffers()[2], np.uint8)[: length.sum()].astype(np.int64) + 2
     symbols[stop - 1] = mark  # 1 parts texts, 0 ends a group
     order = suffix_array(symbols, np.r_[0, stop[ends]])
-    text = np.repeat(np.arange(len(rows)), length + 1)
+    text = np.repeat(np.arange(len(code)), length + 1)
     order = order[stop[text[order]] - 1 - order >= WIDTH]
     same = code[text[order][1:]] == code[text[order][:-1]]
     near = np.flatnonzero(same)
@@ -330,11 +368,11 @@ def decide(rows: list[tuple]) -> pa.RecordBatch:
     owner = text[order]
     cuts = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(least) != 0)])
     lasts = np.r_[cuts[1:], len(order)] - 1
-    needed = least[cuts] < np.array([r[3] for r in rows], np.int64)[owner[cuts]]
+    needed = least[cuts] < high[owner[cuts]]
     cuts, lasts = cuts[needed], lasts[needed]
     fields = [pa.array(order[cuts] - begin[owner[cuts]], pa.int32()), pa.array(order[lasts] - begin[owner[cuts]], pa.int32()), pa.array(least[cuts])]
-    runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[cuts], np.arange(len(rows) + 1)), pa.int32()), pa.StructArray.from_arrays(fields, ["first", "last", "low"]))
-    several = pa.RecordBatch.from_arrays([pa.array(code), pa.array([r[1] for r in rows], pa.binary()), runs.cast(RUNS)], names=["code", "piece", "runs"])
+    runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[cuts], np.arange(len(code) + 1)), pa.int32()), pa.StructArray.from_arrays(fields, ["first", "last", "low"]))
+    several = pa.RecordBatch.from_arrays([pa.array(code), pieces, runs.cast(RUNS)], names=["code", "piece", "runs"])
     return pa.concat_batches([done, several])
 
 
@@ -386,9 +424,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     chunks = cut(chunks.select(F.monotonically_increasing_id().alias("chunk"), "*"), "suffix-chunks", "zstd")
     forget_shuffles(spark)
 
-    # anchors that several documents have: an anchor travels once for each chunk, as hash and tag
-    tags = chunks.select("chunk", "texts").mapInArrow(tidy(_codes), "code long, tag long")
-    shared = cut(tags.repartition("code").sortWithinPartitions("code").mapInArrow(tidy(_meet), "chunk long, code long"), "suffix-shared")
+    # anchors that several documents have: an anchor travels once for each chunk, as hash and tag, many in one row
+    parts = min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count() // PART_CHUNKS), (1 << 16) - 1)
+    tags = chunks.select("chunk", "texts").mapInArrow(tidy(lambda batches: _packed(batches, parts)), "part int, codes binary, tags binary")
+    shared = cut(tags.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(_unpacked), "chunk long, code long"), "suffix-shared")
     forget_shuffles(spark)
     wanted = shared.groupBy("chunk").agg(F.collect_list("code").alias("codes"))
     pieces = cut(chunks.join(wanted, "chunk").select("ids", "marks", "texts", "codes").mapInArrow(tidy(_pieces), f"code long, piece binary, low long, high long, places {PLACES}"), "suffix-pieces", "zstd")

@@ -117,3 +117,20 @@ def test_codes_tell_anchors_of_one_document_from_those_of_several():
     want = {c: 14 + (len(set(row[code == c])) > 1) for c in code.tolist()}
     assert dict(zip(out.column("code").to_pylist(), out.column("tag").to_pylist())) == want and len(out) == len(want)
     assert set(want.values()) == {14, 15}
+
+
+def test_anchors_travel_many_in_a_row():
+    """One row for each chunk and part instead of one for each anchor; what meets is the same."""
+    rng = np.random.default_rng(8)
+    words = [rng.integers(97, 123, 60).astype(np.uint8).tobytes() for _ in range(30)]
+    chunks = [[b"".join(words[k] for k in rng.integers(0, 30, 12)) for _ in range(3)] for _ in range(6)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([c], pa.list_(pa.binary()))], names=["chunk", "texts"]) for k, c in enumerate(chunks)]
+    plain = pa.Table.from_batches(list(op._codes(iter(batches)))).sort_by("code").combine_chunks()
+    want = sorted((r["chunk"], r["code"]) for b in op._meet(iter(plain.to_batches())) for r in b.to_pylist())
+    for parts in (1, 7, 65535):
+        rows = pa.Table.from_batches(list(op._packed(iter(batches), parts))).sort_by("part").combine_chunks()
+        assert rows.num_rows <= 6 * min(parts, plain.num_rows)
+        got = sorted((r["chunk"], r["code"]) for b in op._unpacked(iter(rows.to_batches(max_chunksize=5))) for r in b.to_pylist())
+        assert got == want and len(want) > 100
+    alone = op.decide([(5, b"x" * 60, 1, 1), (6, b"y" * 70, 1, 2)]).to_pylist()
+    assert [r["runs"] for r in alone] == [[], [{"first": 0, "last": 20, "low": 1}]]
