@@ -378,3 +378,66 @@ def test_a_long_common_passage_is_not_fetched_for_each_pair(spark, make_docs, mo
         got = {r.doc_id: r.class_id for r in op.classes(make_docs([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
         assert got == {i: i for i in range(40)}
         assert held[-1] == 0 and not (whole and sum(held))
+
+
+def test_counters_by_length_never_cut():
+    rng = random.Random(17)
+    for size in (20, 300, 1500):
+        for _ in range(20):
+            a = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(size // 2, size))]
+            b = edited(rng, a, rng.random() * 0.4) or ["x"]
+            x, y = (np.frombuffer(op.widened(hashed(t)), np.uint16) for t in (a, b))
+            assert op.apart(x, len(a), y, len(b)) == op.apart(y, len(b), x, len(a)) <= (Counter(a) | Counter(b)).total() - (Counter(a) & Counter(b)).total()
+            assert op.apart(x, len(a), y, len(b)) <= max(len(a), len(b)) - (Counter(a) & Counter(b)).total()
+    a, b = ["a"] * 70_000, ["a"] * 140_000 + ["b"] * 9
+    x, y = (np.frombuffer(op.widened(hashed(t)), np.uint16) for t in (a, b))
+    assert op.apart(x, len(a), x, len(a)) <= 0 and op.apart(x, len(a), y, len(b)) <= len(b) - len(a)
+
+
+def test_limited_counts_are_folded_as_if_counted_so():
+    """Two words of one counter, 200 times each: 400 in the longer text's two counters, 255 in the shorter's one; before, that was a difference of 145."""
+    assert op.difference(np.array([200, 1, 200, 0], np.uint8), np.array([255, 1], np.uint8)) == 0
+
+
+def long_texts(rng):
+    """A common passage and words of one vocabulary: ``FOLDS`` counters cannot tell them apart, two of them are alike."""
+    passage = [f"p{i}" for i in range(500)]
+    texts = [passage + [f"w{rng.randrange(4000)}" for _ in range(2000)] for _ in range(16)]
+    return [*texts, [*texts[3][:-100], *(f"n{i}" for i in range(100))]]
+
+
+def test_long_texts_are_told_apart_before_their_hashes_are_sent(spark, make_docs, monkeypatch):
+    """Before, the hashes of all such texts of later rounds were sent to each pair of groups: they grew with the square of the texts."""
+    asked, near_doubled = [], op._Texts.near_doubled
+
+    def counted(self, pairs, aligned):
+        asked.append(pairs.count())
+        return near_doubled(self, pairs, aligned)
+
+    monkeypatch.setattr(op._Texts, "near_doubled", counted)
+    texts = long_texts(random.Random(18))
+    got = {r.doc_id: r.class_id for r in op.classes(make_docs([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: 3 if i == 16 else i for i in range(17)}
+    assert len(asked) > 1 and sum(asked[1:]) == 0
+
+
+def test_passes_change_nothing(spark, make_docs, monkeypatch):
+    """What is sent is bounded by passes; before, one pass sent it all."""
+    names, cut = Counter(), op.cut
+
+    def counted(df, name):
+        names[name] += 1
+        return cut(df, name)
+
+    monkeypatch.setattr(op, "cut", counted)
+    rng = random.Random(19)
+    texts = [t[:700] for t in long_texts(rng)]
+    texts += [edited(rng, texts[i], 0.15) for i in range(4)]
+    docs, found = make_docs([(i, " ".join(t)) for i, t in enumerate(texts)]), []
+    for least in (1 << 28, 80_000):
+        names.clear()
+        monkeypatch.setattr(op, "SENT", 0)
+        monkeypatch.setattr(op, "SENT_BYTES", least)
+        found.append(sorted(map(tuple, op.classes(docs).collect())))
+        assert (names["omh-doubled"] > names["omh-links"]) == (names["omh-met"] > names["omh-rest"]) == (least == 80_000)
+    assert found[0] == found[1]
