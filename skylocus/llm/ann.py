@@ -1,11 +1,14 @@
 """Nearest neighbours by an inverted file with product-quantised residuals and exact reranking.
 
 Coarse centroids and residual codebooks are fitted on at most ``SAMPLE`` vectors, those of smallest
-hash of id; every vector is indexed. The number of lists that a query probes is measured on the sample:
-the least that holds ``COVER`` of the true neighbours within it, which is harder there than among all
+hash of id; every vector is indexed. The number of lists that a query probes is measured on the sample
+for at most ``TRIALS`` of the queries, those of smallest hash of id, as queries may lie elsewhere than most rows:
+the least that holds all their true neighbours within it for ``COVER`` of them, copies left out, which is harder there than among all
 vectors, where neighbours are closer. A query scores the codes of its nearest lists by an
-asymmetric distance table, and the best ``rerank`` of each piece of a list are measured exactly in double
-precision. A list of more than ``PIECE`` vectors is dealt over pieces by a hash of the id, and queries
+asymmetric distance table. With each code its error is kept, so it bounds the distance from below and above: of each piece of a list
+the best ``rerank`` are measured exactly in double precision, and all others that may be among the nearest of the piece.
+Lists and codes are those of vectors shifted to the sample's mean and scaled to its largest component, so neither
+a common offset nor very small or large vectors lose their digits. A list of more than ``PIECE`` vectors is dealt over pieces by a hash of the id, and queries
 of one list over blocks of ``BLOCK``, so that no task holds more of either.
 
 Cases: vectors that are null, zero, of another length than most, or that hold null or non-finite
@@ -30,7 +33,7 @@ from .common import bound_batches, cut
 SAMPLE = 20_000
 PIECE = 4096
 BLOCK = 512
-#: Share of the sample's true neighbours that the probed lists must hold, and the sampled queries that measure it.
+#: Share of queries whose true neighbours within the sample all lie in the probed lists, and the queries that measure it.
 COVER, TRIALS = 0.97, 256
 #: Most coarse lists; the fit needs some 20 sampled vectors for each.
 LISTS = 1024
@@ -40,13 +43,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
     rng = np.random.default_rng(seed)
     x = np.unique(x, axis=0)
     k = min(k, len(x))
-    centers = x[rng.permutation(len(x))[:k]].astype(np.float32)
+    centers = x[rng.permutation(len(x))[:k]]
     for _ in range(rounds):
         near = nearest(x, centers)
         n = np.bincount(near, minlength=k)
         total = np.zeros_like(centers)
         np.add.at(total, near, x)
-        centers = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centers).astype(np.float32)
+        centers = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centers)
     return centers
 
 
@@ -64,11 +67,13 @@ class Codebook:
     parts: list[np.ndarray]  # of each subspace: codes x its dimension
     edges: list[int]
 
-    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The list and the codes of each vector, and the distance from what they stand for."""
         lists = nearest(x, self.coarse)
         rest = x - self.coarse[lists]
         cols = [nearest(rest[:, a:b], p) for a, b, p in zip(self.edges, self.edges[1:], self.parts)]
-        return lists, np.stack(cols, 1).astype(np.uint8) if len(x) else np.zeros((0, len(self.parts)), np.uint8)
+        lost = sum((((rest[:, a:b] - p[c]) ** 2).sum(1) for a, b, p, c in zip(self.edges, self.edges[1:], self.parts, cols)), np.zeros(len(x)))
+        return lists, np.stack(cols, 1).astype(np.uint8) if len(x) else np.zeros((0, len(self.parts)), np.uint8), np.sqrt(lost)
 
     def tables(self, residual: np.ndarray) -> list[np.ndarray]:
         """Squared distances of one query's residual to every code of each subspace."""
@@ -76,7 +81,7 @@ class Codebook:
 
 
 def fit(sample: np.ndarray, lists: int, parts: int = 16) -> Codebook:
-    x = sample.astype(np.float32)
+    x = sample
     coarse = kmeans(x, lists)
     rest = x - coarse[nearest(x, coarse)]
     parts = min(parts, x.shape[1])
@@ -84,22 +89,39 @@ def fit(sample: np.ndarray, lists: int, parts: int = 16) -> Codebook:
     return Codebook(coarse, [kmeans(rest[:, a:b], 256) for a, b in zip(edges, edges[1:])], edges)
 
 
-def probes_for(sample: np.ndarray, coarse: np.ndarray, k: int, cover: float = COVER) -> int:
-    """Lists to probe so that ``cover`` of the sampled queries' ``k`` nearest sampled vectors lie in them."""
-    x = sample.astype(np.float32)
-    asks = np.arange(0, len(x), max(1, len(x) // TRIALS))
-    far = distances(x[asks], x) + (x[asks] ** 2).sum(1)[:, None]
-    far[far < 1e-9] = np.inf  # itself and its copies share its list
-    far[np.arange(len(asks)), asks] = np.inf
-    k = min(k, len(x) - 1)
-    if k < 1:
-        return len(coarse)
-    near = np.argpartition(far, k - 1, axis=1)[:, :k]
-    order = np.argsort(distances(x[asks], coarse), axis=1)
-    rank = np.empty_like(order)
-    rank[np.arange(len(asks))[:, None], order] = np.arange(len(coarse))[None, :]
-    needed = np.sort(rank[np.arange(len(asks))[:, None], nearest(x, coarse)[near]].ravel())
-    return int(needed[min(len(needed) - 1, math.ceil(cover * len(needed)) - 1)]) + 1
+@dataclass(frozen=True)
+class Frame:
+    """Shift and scale, a power of two."""
+
+    scale: float
+    mean: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return x / self.scale - self.mean
+
+
+def framed(sample: np.ndarray) -> Frame:
+    scale = 2.0 ** math.floor(math.log2(np.abs(sample).max()))
+    return Frame(scale, (sample / scale).mean(0))
+
+
+def probes_for(ids: np.ndarray, sample: np.ndarray, asks: np.ndarray, queries: np.ndarray, book: Codebook, frame: Frame, k: int, cover: float = COVER) -> int:
+    """Lists to probe so that the ``k`` nearest sampled vectors lie in them for ``cover`` of ``queries`` (of ids ``asks``), ties to the smaller id."""
+    by = np.argsort(ids, kind="stable")
+    ids, sample = ids[by], sample[by]
+    of, x, q = nearest(frame(sample), book.coarse), sample / frame.scale, queries / frame.scale
+    needed = []
+    for own, v, near in zip(asks, q, distances(frame(queries), book.coarse)):
+        rank = np.empty(len(near), np.int64)
+        rank[np.argsort(near, kind="stable")] = np.arange(len(near))
+        far = ((x - v) ** 2).sum(1)
+        others = np.flatnonzero((ids != own) & (far > 0))  # its copies share its list
+        if len(others):
+            needed.append(rank[of[others[np.argsort(far[others], kind="stable")[:k]]]].max())
+    if not needed:
+        return len(book.coarse)
+    needed.sort()
+    return int(needed[max(0, math.ceil(cover * len(needed)) - 1)]) + 1
 
 
 def usable(vec: Column, dim: int) -> Column:
@@ -128,18 +150,23 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 128,
         return spark.createDataFrame([], out)
     lists = max(1, min(LISTS, SAMPLE // 20, round(math.sqrt(total))))
     held = _matrix(sample.column("vec").combine_chunks(), dim)
-    book = fit(held, lists)
+    frame = framed(held)
+    book = fit(frame(held), lists)
     lists = len(book.coarse)
-    probes = probes or probes_for(held, book.coarse, k)
+    if not probes:
+        trial = rows.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIALS).toArrow()
+        asks, queries = trial.column("vec_id").to_numpy(), _matrix(trial.column("vec").combine_chunks(), dim)
+        probes = probes_for(sample.column("vec_id").to_numpy(), held, asks, queries, book, frame, k)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("vec"), dim)
-            at, code = book.code(x.astype(np.float32))
+            at, code, lost = book.code(frame(x))
             codes = [c.tobytes() for c in code]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(at, pa.int32()), pa.array(codes, pa.binary())], names=["vec_id", "vec", "list", "code"])
+            arrays = [pa.array(at, pa.int32()), pa.array(codes, pa.binary()), pa.array(lost, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), *arrays], names=["vec_id", "vec", "list", "code", "lost"])
 
-    indexed = cut(rows.mapInArrow(index, "vec_id long, vec array<double>, list int, code binary"), "ann-index")
+    indexed = cut(rows.mapInArrow(index, "vec_id long, vec array<double>, list int, code binary, lost double"), "ann-index")
     # one number per list: bounded by LISTS
     sizes = np.zeros(lists, np.int64)
     for r in indexed.groupBy("list").count().collect():
@@ -149,7 +176,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 128,
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = batch.column("query_id").to_pylist(), _matrix(batch.column("vec"), dim)
-            order = np.argsort(distances(x.astype(np.float32), book.coarse), axis=1, kind="stable")
+            order = np.argsort(distances(frame(x), book.coarse), axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
             enough = np.argmax(held >= min(total, k + 1), axis=1) + 1  # itself is among them
             n = [max(min(probes, lists), int(e)) for e in enough]
@@ -177,15 +204,23 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 128,
             ids = held.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], _matrix(held.column("vec").combine_chunks(), dim)[order]
+            lost = held.column("lost").to_numpy()[order]
             code = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             center = book.coarse[held.column("list")[0].as_py()]
             for q, v in zip(asks.column("query_id").to_pylist(), _matrix(asks.column("vec").combine_chunks(), dim)):
-                near = np.zeros(len(ids), np.float32)
-                for j, table in enumerate(book.tables((v - center).astype(np.float32))):
+                near = np.zeros(len(ids))
+                for j, table in enumerate(book.tables(frame(v) - center)):
                     near += table[code[:, j]]
-                near[ids == q] = np.inf
-                top = np.argsort(near, kind="stable")[:rerank]
-                top = np.sort(top[np.isfinite(near[top])])
+                near = np.sqrt(near)
+                other = np.flatnonzero(ids != q)
+                near, off = near[other], lost[other]
+                if not len(other):
+                    continue
+                # no farther than the k nearest can be, but for rounding
+                most = np.sort(near + off)[min(k, len(other)) - 1] + 1e-12 * (1 + near.max())
+                may = ~(near - off > most)
+                may[np.argsort(near, kind="stable")[:rerank]] = True
+                top = other[may]
                 exact = np.sqrt(((x[top] - v) ** 2).sum(1))
                 for i in np.argsort(exact, kind="stable")[:k]:
                     found.append((q, int(ids[top[i]]), float(exact[i])))
